@@ -1,5 +1,7 @@
 """DuckDB statements for the queries that SQL can express."""
 
+from .secrets import BASE, RULES, Rule
+
 MIX = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -49,4 +51,34 @@ FROM g JOIN b ON g.shingle = b.shingle WHERE g.kind = 'd'
 GROUP BY g.id, b.item_id HAVING count(*) >= 0.8 * any_value(b.item_shingles)
 """
 
-ORACLES = {"op4_mix_sources": MIX, "op10_decontaminate": DECONTAMINATE}
+
+
+def _spans(k: int, rule: Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT id, {k} AS k, '{rule.kind}' AS kind, upto - len(match) AS s, upto AS e FROM (
+    SELECT id, match, measured, sum(len(before) + len(match)) OVER (PARTITION BY id ORDER BY i) AS upto FROM (
+      SELECT id, unnest(matches) AS match, unnest(regexp_split_to_array(text, '{pattern}')[: len(matches)]) AS before,
+             unnest(regexp_extract_all(text, '{pattern}', {rule.group})) AS measured, unnest(range(len(matches))) AS i
+      FROM (SELECT id, text, regexp_extract_all(text, '{pattern}') AS matches FROM d)))
+  WHERE len(measured) >= {rule.least}"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_spans(k, rule) for k, rule in enumerate(RULES))}),
+g AS (
+  SELECT id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) FILTER (k < {len(BASE)}), '') AS base,
+         string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) AS spans
+  FROM f GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (id)
+"""
+
+ORACLES = {
+    "op2_secrets": SECRETS,
+    "op4_mix_sources": MIX,
+    "op10_decontaminate": DECONTAMINATE,
+}

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, token_counts
+from . import decontaminate, language, mixing, secrets, token_counts
 from .common import table
 
 
+def _equals(k: int) -> Callable[[Column], Column]:
+    return lambda x: x == k
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, _equals(k))).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.labels(base), 256).alias("base_sha256"), secrets.labels(F.col("spans")).alias("spans"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,6 +45,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op4_mix_sources": op4_mix_sources,
     "op7_token_counts": op7_token_counts,
     "op8_language": op8_language,
