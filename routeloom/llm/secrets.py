@@ -1,7 +1,7 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
 Each rule's pattern is parsed once, on the driver, into a Boolean trigram query: a conjunction of
-alternatives, each of which is the set of trigrams of a string that a match must hold (in lower case).
+alternatives, each of which is the set of trigrams that cover a string that a match must hold (in lower case).
 The index posts (trigram, text digest) for the trigrams of all rules.  Intersecting the postings of a digest
 against the queries yields candidate rules for each text, and only those run their pattern on it.  A rule
 without a mandatory trigram runs on every text.
@@ -109,13 +109,13 @@ def _walk(items) -> tuple[set[str] | None, Clauses]:
 
 
 def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
-    """All of: any of: all trigrams of a string."""
+    """All of: any of: the trigrams that cover a string."""
     exact, clauses = _walk(regex_parser.parse(pattern))
     if exact is not None and min(map(len, exact), default=0) >= 3:
         clauses = [*clauses, frozenset(exact)]
     query = []
     for clause in clauses:
-        sets = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in clause}
+        sets = {frozenset(s[i : i + 3] for i in {*range(0, len(s) - 2, 3), len(s) - 3}) for s in clause}
         query.append(sorted((x for x in sets if not any(y < x for y in sets)), key=sorted))
     return query
 
@@ -126,9 +126,8 @@ def _digest() -> Column:
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index for these trigrams: (trigram, digest), one row a posting before equal texts are merged."""
-    low = F.lower(text_of())
-    present = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.select(_digest().alias("digest"), F.explode(present).alias("trigram"))
+    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    return docs.select(_digest().alias("digest"), F.lower(text_of()).alias("low")).select("digest", F.explode(present).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
