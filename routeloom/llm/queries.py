@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, language, mixing, secrets, token_counts
+from . import avi, decontaminate, language, licenses, mixing, secrets, token_counts
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.describe(avi.store(table(spark, sf_dir, "documents")))
 
@@ -51,6 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_mix_sources": op4_mix_sources,
+    "op5_licenses": op5_licenses,
     "op6_avi_media": op6_avi_media,
     "op7_token_counts": op7_token_counts,
     "op8_language": op8_language,
