@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def span_labels(spans: Column, kinds: Sequence[str]) -> Column:
+    """Array of (start, kind, end), kind an index into `kinds`, as kind:start:end, comma-joined."""
+    names = F.array(*map(F.lit, kinds))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def span_counts(spans: Column, kinds: Sequence[str]) -> list[Column]:
+    """n_<kind> for each of `kinds`."""
+    own = F.transform(spans, lambda s: s["kind"])
+    return [F.aggregate(own, F.lit(0).cast("long"), _count(k)).alias(f"n_{kind}") for k, kind in enumerate(kinds)]
+
+
+def _count(k: int):
+    return lambda acc, x: acc + F.when(x == k, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))

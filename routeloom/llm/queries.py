@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, language, licenses, mixing, secrets, token_counts
-from .common import table
+from . import avi, decontaminate, language, licenses, mixing, pii, secrets, token_counts
+from .common import span_counts, span_labels, table
 
 
-def _equals(k: int) -> Callable[[Column], Column]:
-    return lambda x: x == k
+def _spans(found: DataFrame, base: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
+    spans = F.col("spans")
+    strict = F.filter(spans, lambda s: s["kind"] < len(base))
+    return found.select("doc_id", *span_counts(spans, base), F.sha2(span_labels(strict, kinds), 256).alias("base_sha256"), span_labels(spans, kinds).alias("spans"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE))
-    kinds = F.transform("spans", lambda s: s["kind"])
-    counts = [F.size(F.filter(kinds, _equals(k))).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(secrets.BASE)]
-    return found.select("doc_id", *counts, F.sha2(secrets.labels(base), 256).alias("base_sha256"), secrets.labels(F.col("spans")).alias("spans"))
+    return _spans(found, tuple(r.kind for r in secrets.BASE), tuple(r.kind for r in secrets.RULES))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +47,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _spans(pii.find_pii(docs, pii.fit(docs)), pii.KINDS, pii.KINDS + pii.FAMILIES)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_avi_media": op6_avi_media,
     "op7_token_counts": op7_token_counts,
     "op8_language": op8_language,
+    "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -182,12 +182,6 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[s
     return rows.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "text", F.array_sort(F.concat(*found)).alias("spans"))
 
 
-def labels(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Spans as kind:start:end, comma-joined."""
-    names = F.array(*[F.lit(r.kind) for r in rules])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """`text` with each run of overlapping spans replaced by `mark`; spans in order of their start."""
 
