@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, language, licenses, mixing, pii, secrets, token_counts
+from . import avi, decontaminate, language, licenses, mixing, near_dups, pii, secrets, token_counts
 from .common import span_counts, span_labels, table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.label(table(spark, sf_dir, "documents"))
+
+
 def _spans(found: DataFrame, base: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
     spans = F.col("spans")
     strict = F.filter(spans, lambda s: s["kind"] < len(base))
@@ -57,6 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_secrets": op2_secrets,
     "op4_mix_sources": op4_mix_sources,
     "op5_licenses": op5_licenses,
