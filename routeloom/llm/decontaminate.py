@@ -23,10 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_of
 from .shingles import U, row_slices, shingle_hashes, shingle_set, word_hashes
 
+BROADCAST_BYTES = 32 << 20
 SKETCHES = "item_id long, words string, n long, part int, sketch array<long>"
-PAIRS = "doc_id long, item_id long, overlap long, item_shingles long"
 
 
 def needed(n: int, threshold: float) -> int:
@@ -56,14 +57,15 @@ def _sketch(batches: Iterator[pa.RecordBatch], threshold: float, n: int) -> Iter
 
 
 def item_sketches(items: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    return items.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).distinct().mapInArrow(lambda it: _sketch(it, threshold, n), SKETCHES)
+    return items.select(F.col("item_id").cast("long"), text_of().alias("text")).distinct().mapInArrow(lambda it: _sketch(it, threshold, n), SKETCHES)
 
 
 def _pairs(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_PAIR_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("overlap", pa.int64()), ("item_shingles", pa.int64())])
+def _pair_schema(key: pa.DataType) -> pa.Schema:
+    return pa.schema([("key", key), ("item_id", pa.int64()), ("overlap", pa.int64()), ("item_shingles", pa.int64())])
 
 
 def _search(batches: Iterator[pa.RecordBatch], items, threshold: float, n: int) -> Iterator[pa.RecordBatch]:
@@ -91,9 +93,9 @@ def _search(batches: Iterator[pa.RecordBatch], items, threshold: float, n: int)
                     if c not in sets:
                         sets[c] = shingle_set(table[c].words, n)
                     if (overlap := len(sets[c] & own)) >= needed(len(sets[c]), threshold):
-                        rows.append((batch["doc_id"][a + k].as_py(), table[c].item_id, overlap, len(sets[c])))
+                        rows.append((batch["key"][a + k].as_py(), table[c].item_id, overlap, len(sets[c])))
         if rows:
-            yield _pairs(rows, _PAIR_SCHEMA)
+            yield _pairs(rows, _pair_schema(batch.schema.field("key").type))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -105,7 +107,6 @@ def _hashes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float, n: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.string()), ("item_id", pa.int64()), ("overlap", pa.int64()), ("item_shingles", pa.int64())])
     for batch in batches:
         rows = []
         for key, text, item, words in zip(*(batch[c].to_pylist() for c in ("key", "text", "item_id", "words")), strict=True):
@@ -113,23 +114,37 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, n: int) -> Iter
             if (overlap := len(wanted & shingle_set(pc.utf8_lower(pa.scalar(text)).as_py(), n))) >= needed(len(wanted), threshold):
                 rows.append((key, item, overlap, len(wanted)))
         if rows:
-            yield _pairs(rows, schema)
+            yield _pairs(rows, _pair_schema(pa.string()))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """(doc_id, item_id, overlap, item_shingles) for every item whose shingles a document holds to `threshold`.
+def _contained(docs: DataFrame, items: DataFrame, threshold: float, n: int, broadcast_bytes: int) -> DataFrame:
+    """Pairs of the rows (key, text) of `docs`.
 
     The item table goes to every task only while its measured size is within `broadcast_bytes`; a larger one is
     met by joins on sketch values, then on content digests.
     """
-    spark = docs.sparkSession
     sketches = item_sketches(items, threshold, n)
+    kind = dict(docs.dtypes)["key"]
     if (sketches.agg(F.sum(F.octet_length("words") + 8 * F.size("sketch") + 64)).first()[0] or 0) <= broadcast_bytes:
-        table = spark.sparkContext.broadcast(sketches.collect())
-        return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lambda it: _search(it, table, threshold, n), PAIRS)
-    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
+        held = docs.sparkSession.sparkContext.broadcast(sketches.collect())
+        return docs.mapInArrow(lambda it: _search(it, held, threshold, n), f"key {kind}, item_id long, overlap long, item_shingles long")
+    keyed = docs.select(F.col("key").alias("row"), "text", F.sha2("text", 256).alias("key"))
     texts = keyed.dropDuplicates(["key"]).select("key", "text")
     values = sketches.select(F.explode("sketch").alias("hash"), "item_id", "words")
-    hits = texts.mapInArrow(lambda it: _hashes(it, n), "key string, hash long").join(values.select("hash", "item_id", "words"), "hash").select("key", "item_id", "words").distinct()
+    hits = texts.mapInArrow(lambda it: _hashes(it, n), "key string, hash long").join(values, "hash").select("key", "item_id", "words").distinct()
     pairs = hits.join(texts, "key").mapInArrow(lambda it: _verify(it, threshold, n), "key string, item_id long, overlap long, item_shingles long")
-    return keyed.select("doc_id", "key").join(pairs, "key").select("doc_id", "item_id", "overlap", "item_shingles")
+    return keyed.select("row", "key").join(pairs, "key").drop("key").withColumnRenamed("row", "key")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, item_id, overlap, item_shingles) for every item whose shingles a document holds to `threshold`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), text_of().alias("text"))
+    return _contained(rows, items, threshold, n, broadcast_bytes).withColumnRenamed("key", "doc_id")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of `docs` whose text holds no item to `threshold`; texts, not ids, decide."""
+    rows = docs.select(F.sha2(text_of(), 256).alias("key"), text_of().alias("text"))
+    held = _contained(rows, items, threshold, n, broadcast_bytes).select("key").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(text_of(), 256).alias("key"))
+    return whole.join(held, "key", "left_anti").select("row.*")

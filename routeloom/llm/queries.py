@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, language, licenses, mixing, near_dups, pii, secrets, token_counts
+from . import avi, decontaminate, language, licenses, mixing, near_dups, pii, repeats, secrets, token_counts
 from .common import span_counts, span_labels, table
 
 
@@ -26,6 +26,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(found, tuple(r.kind for r in secrets.BASE), tuple(r.kind for r in secrets.RULES))
 
 
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.strip_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,6 +67,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_secrets": op2_secrets,
+    "op3_repeated_strings": op3_repeated_strings,
     "op4_mix_sources": op4_mix_sources,
     "op5_licenses": op5_licenses,
     "op6_avi_media": op6_avi_media,
