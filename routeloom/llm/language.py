@@ -87,7 +87,7 @@ def _predict(batches: Iterator[pa.RecordBatch], models, margin: float) -> Iterat
         yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score", "rejected"])
 
 
-def identify(docs: DataFrame, models: Mapping[str, bytes], margin: float = 0.02) -> DataFrame:
+def identify(docs: DataFrame, models: Mapping[str, bytes], margin: float = 0.005) -> DataFrame:
     """The columns of `docs` (one of them `text`), then lang_pred, score and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(dict(models))
     fields = [f"`{name}` {kind}" for name, kind in docs.dtypes]

@@ -7,9 +7,11 @@ in a band where they agree on those shingles and on their order.
 Check.  The similarity of two texts is L / (m + n - L) for their m and n shingles and the L shingles of the best
 order-preserving alignment.  Only a band around the diagonal can reach the threshold, and only that is aligned.
 
-Classes.  In each bucket every text is checked against the bucket's least text.  Those that fail meet
-again in the next round, without the texts that passed, until no bucket has two left; so a bucket of any size costs one
-check a text and round, and no pairs are left out by a cap.  Classes are the connected components of the links.
+Classes.  In each bucket every text is checked against the bucket's least text, and those without a link meet once
+more.  What is left of a bucket of up to SMALL texts is checked pair by pair.  What is left of larger buckets, which
+share a common passage, is bucketed anew by every two of these buckets that a text is in, and treated in the same way;
+buckets that are large even then go on text by least text until none has two left.  No pair is left out by a cap.  Classes
+are the connected components of the links.
 
 Defined results: equal texts are one text throughout; a text of 1 to n-1 words has one shingle; a text without words (null,
 empty) is alone, in the class of its own id; a class is named by its least id, null if all are null; an empty table
@@ -27,12 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_of
+from .common import scratch_path, stash, text_of
 from .components import components
 from .shingles import U, mix, row_slices, shingle_hashes, word_hashes
 
 BANDS = 20
 SAMPLE = 3
+SMALL = 32
 LAST = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -135,6 +138,48 @@ def content_of(column: str = "text") -> Column:
     return F.unhex(F.sha2(text_of(column), 256))
 
 
+def shared_only(members: DataFrame) -> DataFrame:
+    """The rows (key, ...) whose bucket has several."""
+    return members.join(members.groupBy("key").count().where("count > 1").select("key"), "key")
+
+
+class Checks:
+    """Pairs (a, b) that were aligned, kept in one table of the shared folder."""
+
+    def __init__(self, bodies: DataFrame, threshold: float, n: int) -> None:
+        self.bodies, self.threshold, self.n = bodies, threshold, n
+        self.path, self.schema = scratch_path(bodies.sparkSession, "checks"), "a long, b long, linked boolean"
+        bodies.sparkSession.createDataFrame([], self.schema).write.parquet(self.path)
+
+    def done(self) -> DataFrame:
+        return self.bodies.sparkSession.read.schema(self.schema).parquet(self.path)
+
+    def links(self) -> DataFrame:
+        return self.done().where("linked").select("a", "b")
+
+    def _align(self, pairs: DataFrame) -> None:
+        """Align the pairs (a, na, b, nb) that are new and near enough in size."""
+        near = F.least("na", "nb") >= self.threshold * F.greatest("na", "nb")
+        fresh = pairs.where(near).select("a", "b").distinct().join(self.done().select("a", "b"), ["a", "b"], "left_anti")
+        right = fresh.join(self.bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        both = right.join(self.bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        threshold, n = self.threshold, self.n
+        both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _check(it, threshold, n), self.schema).write.mode("append").parquet(self.path)
+
+    def against_hub(self, members: DataFrame) -> DataFrame:
+        """Check each member (key, id, n) of a bucket against its least; those without a link that are not alone come back."""
+        hubs = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"))
+        pairs = members.join(hubs, "key").where(F.col("id") > F.col("hub.id")).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"))
+        self._align(pairs)
+        left = pairs.join(self.links(), ["a", "b"], "left_anti").select("key", F.col("a").alias("id"), F.col("na").alias("n"))
+        return stash(shared_only(left), "buckets")
+
+    def all_pairs(self, members: DataFrame) -> None:
+        """Check the pairs of buckets whose size is bounded."""
+        other = members.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
+        self._align(members.join(other, "key").where(F.col("id") > F.col("b")).select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb"))
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, sample: int = SAMPLE) -> DataFrame:
     """(content, class_key, class_id) of each distinct text with words: the class by a key of this run and by its least document id."""
     named = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), content_of().alias("content"))
@@ -142,28 +187,24 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
     distinct = sketched.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("keys").alias("keys"))
     texts = stash(distinct.withColumn("id", F.monotonically_increasing_id()), "sketches")
     members = texts.select("id", "n", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").count().where("count > 1").select("key")
-    open_members = stash(members.join(shared, "key"), "buckets")
+    open_members = stash(shared_only(members), "buckets")
     wanted = texts.select("id", "content").join(open_members.select("id").distinct(), "id")
     bodies = stash(named.select("content", "text").join(wanted, "content").groupBy("id").agg(F.min("text").alias("text")), "bodies")
 
-    links, checked = None, None
-    while True:
-        least = open_members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"))
-        pairs = open_members.join(least, "key").where(F.col("id") > F.col("hub.id")).select("key", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-        fresh = pairs.where(F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-        if checked is not None:
-            fresh = fresh.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        with_text = fresh.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        done = stash(with_text.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _check(it, threshold, n), "a long, b long, linked boolean"), "checks")
-        checked = done if checked is None else checked.union(done)
-        links = checked.where("linked").select("a", "b")
-        # Members that are not linked to their hub meet again; hubs and linked members have been settled in this bucket.
-        left = pairs.join(links.select(F.col("a").alias("id"), F.col("b").alias("hub")), ["id", "hub"], "left_anti").select("key", "id", "n")
-        several = left.groupBy("key").count().where("count > 1").select("key")
-        open_members = stash(left.join(several, "key"), "buckets")
-        if not open_members.limit(1).count():
-            break
+    checks = Checks(bodies, threshold, n)
+    for level in range(2):
+        for _ in range(2):
+            open_members = checks.against_hub(open_members)
+        counts = open_members.groupBy("key").count()
+        checks.all_pairs(open_members.join(counts.where(F.col("count") <= SMALL).select("key"), "key"))
+        open_members = open_members.join(counts.where(F.col("count") > SMALL).select("key"), "key")
+        if level == 0:
+            held = open_members.groupBy("id", "n").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+            joint = held.select("id", "n", F.explode("keys").alias("x"), "keys").select("id", "n", "x", F.explode("keys").alias("y")).where("x < y")
+            open_members = stash(shared_only(joint.select("id", "n", F.xxhash64("x", "y").alias("key"))), "joint")
+    while open_members.limit(1).count():
+        open_members = checks.against_hub(open_members)
+    links = checks.links()
     roots = components(links)
     grouped = texts.join(roots, "id", "left").select("content", "doc_id", F.coalesce("root", "id").alias("class_key"))
     names = grouped.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
