@@ -6,6 +6,8 @@ it is built from SQL functions, so it stays in generated code.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def bits(name: str) -> int:
     return {"4": 32, "6": 128}[name]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is written once: nested uses of a long expression would multiply its tree."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def v4_number(text: Column) -> Column:
     """Dotted quad to long, null if it is none."""
     part = [F.try_element_at(F.split(text, r"\."), F.lit(k)).cast("long") for k in (1, 2, 3, 4)]
@@ -30,16 +37,25 @@ def v4_text(number: Column) -> Column:
 
 
 def _v6_groups(text: Column) -> Column:
-    number = v4_number(F.regexp_extract(text, MAPPED, 2))
-    tail = F.concat_ws(":", F.lower(F.hex(F.shiftright(number, 16))), F.lower(F.hex(number.bitwiseAND(65535))))
-    plain = F.when(text.rlike(MAPPED), F.when(number.isNotNull(), F.concat(F.regexp_extract(text, MAPPED, 1), tail))).otherwise(text)
-    sides = F.split(plain, "::", 2)
-    left = F.filter(F.split(sides[0], ":"), lambda g: g != "")
-    right = F.filter(F.split(F.coalesce(F.try_element_at(sides, F.lit(2)), F.lit("")), ":"), lambda g: g != "")
-    short = F.size(sides) == 2
-    fill = F.lit(8) - F.size(left) - F.size(right)
-    groups = F.when(short & (fill >= 1), F.concat(left, F.array_repeat(F.lit("0"), fill), right)).when(~short & (fill == 0), left)
-    return F.when(plain.rlike(V6) & ~F.exists(groups, lambda g: F.length(g) > 4), groups)
+    def joined(number: Column) -> Column:
+        tail = F.concat_ws(":", F.lower(F.hex(F.shiftright(number, 16))), F.lower(F.hex(number.bitwiseAND(65535))))
+        return F.when(number.isNotNull(), F.concat(F.regexp_extract(text, MAPPED, 1), tail))
+
+    plain = F.when(text.rlike(MAPPED), let(v4_number(F.regexp_extract(text, MAPPED, 2)), joined)).otherwise(text)
+
+    def groups(sides: Column) -> Column:
+        left = F.filter(F.split(sides[0], ":"), lambda g: g != "")
+        right = F.filter(F.split(F.coalesce(F.try_element_at(sides, F.lit(2)), F.lit("")), ":"), lambda g: g != "")
+
+        def filled(both: Column) -> Column:
+            fill = F.lit(8) - F.size(both["l"]) - F.size(both["r"])
+            short = F.size(sides) == 2
+            return F.when(short & (fill >= 1), F.concat(both["l"], F.array_repeat(F.lit("0"), fill), both["r"])).when(~short & (fill == 0), both["l"])
+
+        return let(F.struct(left.alias("l"), right.alias("r")), filled)
+
+    checked = lambda p: F.when(p.rlike(V6), let(F.split(p, "::", 2), groups))
+    return let(let(plain, checked), lambda g: F.when(~F.exists(g, lambda x: F.length(x) > 4), g))
 
 
 def _half(groups: Column, start: int) -> Column:
@@ -49,27 +65,33 @@ def _half(groups: Column, start: int) -> Column:
 
 def parse_address(text: Column) -> Column:
     """Text to (ver, hi, lo): IPv4 first, then IPv6; null if it is neither."""
-    number, groups = v4_number(text), _v6_groups(text)
-    four = F.struct(F.lit(4).alias("ver"), F.lit(0).cast("long").alias("hi"), number.alias("lo"))
-    six = F.struct(F.lit(6).alias("ver"), _half(groups, 1).alias("hi"), _half(groups, 5).alias("lo"))
-    return F.when(number.isNotNull(), four).when(groups.isNotNull(), six)
+
+    def four(number: Column) -> Column:
+        return F.when(number.isNotNull(), F.struct(F.lit(4).alias("ver"), F.lit(0).cast("long").alias("hi"), number.alias("lo")))
+
+    def six(groups: Column) -> Column:
+        return F.when(groups.isNotNull(), F.struct(F.lit(6).alias("ver"), _half(groups, 1).alias("hi"), _half(groups, 5).alias("lo")))
+
+    return let(text, lambda t: F.coalesce(let(v4_number(t), four), let(_v6_groups(t), six)))
 
 
 def _v6_text(hi: Column, lo: Column) -> Column:
     words = [F.shiftright(h, k).bitwiseAND(65535) for h in (hi, lo) for k in (48, 32, 16, 0)]
-    text = F.concat_ws(":", *[F.lower(F.hex(w)) for w in words])
-    shortened = text
-    for run in range(2, 9):  # the longest run of zero groups, the first of equals
-        pattern = rf"^(?:((?:[0-9a-f]+:)*?[0-9a-f]+):|)0(?::0){{{run - 1}}}(?::(.*)|)$"
-        shortened = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$1::$2")).otherwise(shortened)
-    low = lo.bitwiseAND(0xFFFFFFFF)
-    top = F.shiftrightunsigned(lo, 32)
+
+    def short(text: Column) -> Column:
+        shortened = text
+        for run in range(2, 9):  # the longest run of zero groups, the first of equals
+            pattern = rf"^(?:|((?:[0-9a-f]+:)*?[0-9a-f]+):)0(?::0){{{run - 1}}}(?::(.*)|)$"
+            shortened = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "$1::$2")).otherwise(shortened)
+        return shortened
+
+    low, top = lo.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(lo, 32)
     mapped = F.when((hi == 0) & (top == 0xFFFF), F.concat(F.lit("::ffff:"), v4_text(low))).when((hi == 0) & (top == 0) & (words[6] > 0), F.concat(F.lit("::"), v4_text(low)))
-    return F.coalesce(mapped, shortened)
+    return F.coalesce(mapped, let(F.concat_ws(":", *[F.lower(F.hex(w)) for w in words]), short))
 
 
 def address_text(address: Column) -> Column:
-    return F.when(address["ver"] == 4, v4_text(address["lo"])).when(address["ver"] == 6, _v6_text(address["hi"], address["lo"]))
+    return let(address, lambda a: F.when(a["ver"] == 4, v4_text(a["lo"])).when(a["ver"] == 6, _v6_text(a["hi"], a["lo"])))
 
 
 def mask(ver: Column, hi: Column, lo: Column, length: Column) -> tuple[Column, Column]:
@@ -96,10 +118,17 @@ def mask_address(address: Column, length: Column) -> Column:
 
 def parse_prefix(text: Column) -> Column:
     """`address/length` to a canonical prefix; null for a bad address or a length beyond it."""
-    parts = F.split(text, "/")
-    address, length = parse_address(parts[0]), F.try_element_at(parts, F.lit(2)).cast("int")
-    fits = (F.size(parts) == 2) & F.try_element_at(parts, F.lit(2)).rlike("^[0-9]{1,3}$") & (length <= F.when(address["ver"] == 4, 32).otherwise(128))
-    return F.when(fits & address.isNotNull(), make_prefix(address["ver"], address["hi"], address["lo"], length))
+
+    def made(x: Column) -> Column:
+        fits = x["n"].isNotNull() & (x["n"] <= F.when(x["a"]["ver"] == 4, 32).otherwise(128))
+        return F.when(fits, make_prefix(x["a"]["ver"], x["a"]["hi"], x["a"]["lo"], x["n"]))
+
+    def split(parts: Column) -> Column:
+        digits = F.try_element_at(parts, F.lit(2))
+        length = F.when((F.size(parts) == 2) & digits.rlike("^[0-9]{1,3}$"), digits.cast("int"))
+        return let(F.struct(parse_address(parts[0]).alias("a"), length.alias("n")), made)
+
+    return let(F.split(text, "/"), split)
 
 
 def v4_prefix(net: Column, length: Column) -> Column:
@@ -107,7 +136,7 @@ def v4_prefix(net: Column, length: Column) -> Column:
 
 
 def prefix_text(prefix: Column) -> Column:
-    return F.concat(address_text(prefix), F.lit("/"), prefix["len"].cast("string"))
+    return let(prefix, lambda p: F.concat(address_text(p), F.lit("/"), p["len"].cast("string")))
 
 
 def contains(outer: Column, inner: Column) -> Column:

@@ -162,17 +162,23 @@ def record_conditions(f: Filters, time: str = "time_sec") -> list[Column]:
     return found
 
 
+def _bits(text: str) -> tuple[int, int, int, int]:
+    """(ver, hi, lo, len) of a prefix, as the columns have them."""
+    net = ipaddress.ip_network(text)
+    value = int(net.network_address)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    hi, lo = (0, value) if net.version == 4 else (signed(value >> 64), signed(value & ((1 << 64) - 1)))
+    return net.version, hi, lo, net.prefixlen
+
+
 def prefix_condition(prefix: Column, wanted: tuple[tuple[str, str], ...]) -> Column:
     """An OR of comparisons on the network and the length; `prefix` is (ver, hi, lo, len)."""
     met = F.lit(False)
     for specificity, text in wanted:
-        net = ipaddress.ip_network(text)
-        value = int(net.network_address)
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        hi, lo = (0, value) if net.version == 4 else (signed(value >> 64), signed(value & ((1 << 64) - 1)))
-        f = F.struct(F.lit(net.version).alias("ver"), F.lit(hi).cast("long").alias("hi"), F.lit(lo).cast("long").alias("lo"), F.lit(net.prefixlen).alias("len"))
+        ver, hi, lo, length = _bits(text)
+        f = F.struct(F.lit(ver).alias("ver"), F.lit(hi).cast("long").alias("hi"), F.lit(lo).cast("long").alias("lo"), F.lit(length).alias("len"))
         if specificity == "exact":
-            one = (prefix["ver"] == net.version) & (prefix["len"] == net.prefixlen) & (prefix["hi"] == hi) & (prefix["lo"] == lo)
+            one = (prefix["ver"] == ver) & (prefix["len"] == length) & (prefix["hi"] == hi) & (prefix["lo"] == lo)
         elif specificity == "more":
             one = ip.contains(f, prefix)
         elif specificity == "less":
@@ -214,6 +220,6 @@ def apply(elems: DataFrame, f: Filters, few_prefixes: int = FEW_PREFIXES) -> Dat
     found = elems.where(all_of([*record_conditions(f), *elem_conditions(f, few_prefixes)]))
     if len(f.prefix) > few_prefixes:
         spark = elems.sparkSession
-        wanted = spark.createDataFrame(list(f.prefix), "specificity string, text string").select("specificity", ip.parse_prefix(F.col("text")).alias("prefix"))
+        wanted = spark.createDataFrame([(s, (*_bits(text),)) for s, text in f.prefix], "specificity string, prefix struct<ver:int,hi:bigint,lo:bigint,len:int>")
         found = matching(found.where("elem_type <> 'S'"), wanted)
     return found

@@ -16,25 +16,23 @@ BLOCK_BITS = 20
 
 
 def cut_v4(intervals: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """(lo, hi) cut at multiples of 2**bits, with `block`."""
+    """(lo, hi) cut at multiples of 2**bits, with `block` and whether the interval goes on in the next one."""
     first, last = F.shiftright("lo", bits), F.shiftright("hi", bits)
     rows = intervals.select(*intervals.columns, F.explode(F.sequence(first, last)).alias("block"))
     start = F.shiftleft(F.col("block"), bits)
-    return rows.withColumn("lo", F.greatest("lo", start)).withColumn("hi", F.least("hi", start + (1 << bits) - 1))
-
-
-def islands(rows: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Maximal unions of overlapping intervals within each group of `by`; intervals that only touch stay apart."""
-    order = Window.partitionBy(*by).orderBy(lo, F.col(hi).desc())
-    before = F.max(hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = rows.withColumn("_new", F.when(before >= F.col(lo), 0).otherwise(1))
-    numbered = flagged.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "_island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi")).drop("_island")
+    top = start + (1 << bits) - 1
+    return rows.withColumn("lo", F.greatest("lo", start)).withColumn("goes_on", F.col("hi") > top).withColumn("hi", F.least("hi", top))
 
 
 def union_v4(intervals: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """(block, lo, hi): the disjoint union of (lo, hi), both inclusive, in pieces within blocks."""
-    return islands(cut_v4(intervals.select("lo", "hi").distinct(), bits), ["block"])
+    """(block, lo, hi, goes_on): the union of (lo, hi), both inclusive, in disjoint pieces within blocks; intervals that only touch stay apart."""
+    rows = cut_v4(intervals.select("lo", "hi").distinct(), bits)
+    order = Window.partitionBy("block").orderBy("lo", F.col("hi").desc())
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = rows.withColumn("_new", F.when(before >= F.col("lo"), 0).otherwise(1))
+    numbered = flagged.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = numbered.groupBy("block", "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("goes_on").alias("goes_on"))
+    return pieces.drop("_island")
 
 
 def rejoin(pieces: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
@@ -44,7 +42,7 @@ def rejoin(pieces: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     inner = pieces.where((F.col("lo") > low) & (F.col("hi") < high)).select("lo", "hi")
     edge = pieces.where((F.col("lo") == low) | (F.col("hi") == high))
     order = Window.partitionBy(F.lit(0)).orderBy("lo")
-    joined = edge.withColumn("_new", F.when((F.lag("hi").over(order) + 1 == F.col("lo")) & (F.col("lo") == low), 0).otherwise(1))
+    joined = edge.withColumn("_new", F.when(F.lag("goes_on").over(order) & (F.col("lo") == low), 0).otherwise(1))
     joined = joined.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return inner.union(joined.groupBy("_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island"))
 

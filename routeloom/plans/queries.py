@@ -270,7 +270,7 @@ def min_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     TABLE_SQL
-    + """ SELECT q.event_id, CAST(coalesce(bit_or(CASE WHEN t.len < q.len THEN 4 WHEN t.len = q.len THEN 2 ELSE 1 END), 0) AS INT) AS mask
+    + """ SELECT q.event_id, CAST(coalesce(bit_or(CASE WHEN t.len IS NULL THEN 0 WHEN t.len < q.len THEN 4 WHEN t.len = q.len THEN 2 ELSE 1 END), 0) AS INT) AS mask
     FROM q LEFT JOIN t ON (t.net <= q.net AND t.top >= q.top) OR (q.net <= t.net AND q.top >= t.top) GROUP BY q.event_id"""
 )
 def overlap_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
