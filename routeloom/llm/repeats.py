@@ -99,7 +99,7 @@ def _bodies(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         for text, wanted in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
             raw = text.encode()
             rows += [(x["vid"], x["shard"], x["anchor"], x["spread"], raw[x["first"] : x["last"] + length]) for x in wanted]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], ["vid", "shard", "anchor", "spread", "bytes"])
 
 
@@ -127,14 +127,19 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True))
 
 
-_FOUND = pa.schema([("vid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("digest", pa.binary())])
-FOUND = "vid long, lo int, hi int, digest binary"
+_RUN = pa.list_(pa.struct([("digest", pa.binary()), ("vid", pa.int64()), ("at", pa.int32())]))
+_FOUND = pa.schema([("vid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("bucket", pa.string()), ("run", _RUN)])
+FOUND = "vid long, lo int, hi int, bucket string, run array<struct<digest:binary,vid:bigint,at:int>>"
 
 
 def _shard(table: pa.Table, length: int) -> pa.Table:
-    """Repeated windows as ranges without digest; of spread anchors also a window of each class, with its digest."""
+    """Repeated windows as ranges; of a spread anchor also a window of each class, in a sorted run of digests for each bucket.
+
+    The anchor has as many buckets as shards, so a bucket is about as large as a shard.
+    """
     rows = sorted(zip(table["anchor"].to_pylist(), table["vid"].to_pylist(), table["spread"].to_pylist(), table["bytes"].to_pylist(), strict=True))
     found: list[tuple] = []
+    runs: dict[str, list[dict]] = {}
     start = 0
     while start < len(rows):
         stop, total = start, 0
@@ -148,20 +153,27 @@ def _shard(table: pa.Table, length: int) -> pa.Table:
             stop = back if back > start else stop
         part = rows[start:stop]
         repeated, single = repeated_windows([r[3] for r in part], length)
-        for (_, vid, spread, body), again, one in zip(part, repeated, single, strict=True):
-            found += [(vid, lo, hi, None) for lo, hi in _runs(again)]
-            if spread:
-                found += [(vid, s, s, hashlib.blake2b(body[s : s + length], digest_size=16).digest()) for s in one.tolist()]
+        for (anchor, vid, spread, body), again, one in zip(part, repeated, single, strict=True):
+            found += [(vid, lo, hi, None, None) for lo, hi in _runs(again)]
+            for s in one.tolist() if spread else ():
+                digest = hashlib.blake2b(body[s : s + length], digest_size=16).digest()
+                runs.setdefault(f"{anchor}-{int.from_bytes(digest[:4], 'big') % spread}", []).append({"digest": digest, "vid": vid, "at": s})
         start = stop
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [()] * 4, _FOUND, strict=True)], schema=_FOUND)
+    found += [(None, None, None, bucket, sorted(run, key=lambda x: x["digest"])) for bucket, run in runs.items()]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [()] * 5, _FOUND, strict=True)], schema=_FOUND)
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Windows whose digest is in the sorted run of another shard, found by binary search."""
-    digests = np.array(table["digest"].to_pylist(), dtype="S16") if len(table) else np.zeros(0, "S16")
-    run = np.sort(digests)
-    again = np.searchsorted(run, digests, "right") - np.searchsorted(run, digests, "left") > 1
-    return table.filter(pa.array(again)).select(["vid", "lo", "hi", "digest"])
+    """The windows of a bucket whose digest is in another run too, found by binary search in the merged runs."""
+    rows = [x for run in table["run"].to_pylist() for x in run]
+    digests = np.array([x["digest"] for x in rows], dtype="S16")
+    merged = np.sort(digests, kind="stable")
+    again = np.searchsorted(merged, digests, "right") - np.searchsorted(merged, digests, "left") > 1
+    found: dict[int, list[int]] = {}
+    for i in np.flatnonzero(again):
+        found.setdefault(rows[i]["vid"], []).append(rows[i]["at"])
+    out = [(vid, lo, hi) for vid, starts in found.items() for lo, hi in _runs(np.sort(np.array(starts)))]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [()] * 3, list(_FOUND)[:3], strict=True)], schema=pa.schema(list(_FOUND)[:3]))
 
 
 def _strip(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -204,16 +216,15 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     several = variants.join(load, "anchor")
     total = several.where(F.col("load") <= shard_bytes).agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-2 * total // shard_bytes))
-    spread = F.col("load") > shard_bytes
-    shard = F.when(spread, F.concat_ws("-", F.lit("spread"), "anchor", F.pmod(F.xxhash64("vid"), F.ceil(2 * F.col("load") / shard_bytes)))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("string"))
+    spread = F.when(F.col("load") > shard_bytes, F.ceil(2 * F.col("load") / shard_bytes)).otherwise(0).cast("long")
+    shard = F.when(spread > 0, F.concat_ws("-", F.lit("spread"), "anchor", F.pmod(F.xxhash64("vid"), spread))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("string"))
     asked = several.select(F.col("where.id").alias("id"), F.struct("vid", shard.alias("shard"), "anchor", spread.alias("spread"), "where.first", "where.last").alias("x"))
     asked = asked.groupBy("id").agg(F.collect_list("x").alias("wanted"))
-    pieces = bodies.select("id", "text").join(asked, "id").select("text", "wanted").mapInArrow(lambda it: _bodies(it, length), "vid long, shard string, anchor long, spread boolean, bytes binary")
+    pieces = bodies.select("id", "text").join(asked, "id").select("text", "wanted").mapInArrow(lambda it: _bodies(it, length), "vid long, shard string, anchor long, spread long, bytes binary")
     marked = stash(pieces.groupBy("shard").applyInArrow(lambda t: _shard(t, length), FOUND), "windows")
-    buckets = max(1, marked.where("digest is not null").count() // 100_000)
-    merged = marked.where("digest is not null").groupBy(F.pmod(F.xxhash64("digest"), F.lit(buckets))).applyInArrow(_merge, FOUND)
+    merged = marked.where("bucket is not null").groupBy("bucket").applyInArrow(_merge, "vid long, lo int, hi int")
     whole = variants.where("n > 1").select("vid", F.lit(0).alias("lo"), (F.col("size") - length).cast("int").alias("hi"))
-    ranges = marked.where("digest is null").select("vid", "lo", "hi").union(merged.select("vid", "lo", "hi")).union(whole)
+    ranges = marked.where("bucket is null").select("vid", "lo", "hi").union(merged).union(whole)
 
     # Back to the texts.
     ranges = ranges.groupBy("vid").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).join(variants.select("vid", "anchor", "body"), "vid").select("anchor", "body", "r")
