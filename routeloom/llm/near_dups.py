@@ -35,7 +35,7 @@ from .shingles import U, mix, row_slices, shingle_hashes, word_hashes
 
 BANDS = 20
 SAMPLE = 3
-SMALL = 32
+SMALL = 256
 LAST = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -151,6 +151,10 @@ class Checks:
         self.path, self.schema = scratch_path(bodies.sparkSession, "checks"), "a long, b long, linked boolean"
         bodies.sparkSession.createDataFrame([], self.schema).write.parquet(self.path)
 
+    def narrow(self, members: DataFrame) -> None:
+        """Keep the texts of these members only, so that later rounds move no others."""
+        self.bodies = stash(self.bodies.join(members.select("id").distinct(), "id", "left_semi"), "bodies")
+
     def done(self) -> DataFrame:
         return self.bodies.sparkSession.read.schema(self.schema).parquet(self.path)
 
@@ -202,6 +206,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
             held = open_members.groupBy("id", "n").agg(F.array_sort(F.collect_set("key")).alias("keys"))
             joint = held.select("id", "n", F.explode("keys").alias("x"), "keys").select("id", "n", "x", F.explode("keys").alias("y")).where("x < y")
             open_members = stash(shared_only(joint.select("id", "n", F.xxhash64("x", "y").alias("key"))), "joint")
+            checks.narrow(open_members)
     while open_members.limit(1).count():
         open_members = checks.against_hub(open_members)
     links = checks.links()
