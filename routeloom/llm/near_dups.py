@@ -7,11 +7,12 @@ in a band where they agree on those shingles and on their order.
 Check.  The similarity of two texts is L / (m + n - L) for their m and n shingles and the L shingles of the best
 order-preserving alignment.  Only a band around the diagonal can reach the threshold, and only that is aligned.
 
-Classes.  In each bucket every text is checked against the bucket's least text, and those without a link meet once
-more.  What is left of a bucket of up to SMALL texts is checked pair by pair.  What is left of larger buckets, which
-share a common passage, is bucketed anew by every two of these buckets that a text is in, and treated in the same way;
-buckets that are large even then go on text by least text until none has two left.  No pair is left out by a cap.  Classes
-are the connected components of the links.
+Classes.  Buckets of up to SMALL texts give their pairs, which are aligned once each.  Larger buckets are cut by the
+number of shingles, as texts more than a factor 1 / threshold apart can't be similar, and then by hash into blocks of a
+bounded number of shingles; every two blocks of a bucket meet in a cell.  A cell counts the shingles that its texts share,
+aligns those pairs that share enough and aren't joined yet, and returns links that join what is similar: fewer than it has
+texts, so no task holds more than a cell and no list of all pairs is made.  No pair is left out by a cap.  Classes are the
+connected components of the links.
 
 Defined results: equal texts are one text throughout; a text of 1 to n-1 words has one shingle; a text without words (null,
 empty) is alone, in the class of its own id; a class is named by its least id, null if all are null; an empty table
@@ -21,7 +22,7 @@ gives no rows.  Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stash, text_of
+from .common import stash, text_of
 from .components import components
 from .shingles import U, mix, row_slices, shingle_hashes, word_hashes
 
 BANDS = 20
 SAMPLE = 3
-SMALL = 256
+SMALL = 8
+CELL_SHINGLES = 1 << 20
+CELL_TEXTS = 1024
 LAST = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -96,6 +99,11 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     if np.minimum(ca[i], cb[j]).sum() < need:
         return False
+    once = (ca[i] == 1) & (cb[j] == 1)
+    if once.sum() >= need:  # shingles that occur once in both: if they stand in the same order, they are an alignment
+        at_a, at_b = np.argsort(a, kind="stable")[(np.cumsum(ca) - ca)[i[once]]], np.argsort(b, kind="stable")[(np.cumsum(cb) - cb)[j[once]]]
+        if (np.diff(at_b[np.argsort(at_a)]) > 0).all():
+            return True
     left, right = len(a) - need, len(b) - need  # no path may leave out more
     codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
     ca, width = codes[: len(a)], left + right + 1
@@ -138,50 +146,87 @@ def content_of(column: str = "text") -> Column:
     return F.unhex(F.sha2(text_of(column), 256))
 
 
-def shared_only(members: DataFrame) -> DataFrame:
-    """The rows (key, ...) whose bucket has several."""
-    return members.join(members.groupBy("key").count().where("count > 1").select("key"), "key")
-
-
-class Checks:
-    """Pairs (a, b) that were aligned, kept in one table of the shared folder."""
-
-    def __init__(self, bodies: DataFrame, threshold: float, n: int) -> None:
-        self.bodies, self.threshold, self.n = bodies, threshold, n
-        self.path, self.schema = scratch_path(bodies.sparkSession, "checks"), "a long, b long, linked boolean"
-        bodies.sparkSession.createDataFrame([], self.schema).write.parquet(self.path)
-
-    def narrow(self, members: DataFrame) -> None:
-        """Keep the texts of these members only, so that later rounds move no others."""
-        self.bodies = stash(self.bodies.join(members.select("id").distinct(), "id", "left_semi"), "bodies")
-
-    def done(self) -> DataFrame:
-        return self.bodies.sparkSession.read.schema(self.schema).parquet(self.path)
-
-    def links(self) -> DataFrame:
-        return self.done().where("linked").select("a", "b")
-
-    def _align(self, pairs: DataFrame) -> None:
-        """Align the pairs (a, na, b, nb) that are new and near enough in size."""
-        near = F.least("na", "nb") >= self.threshold * F.greatest("na", "nb")
-        fresh = pairs.where(near).select("a", "b").distinct().join(self.done().select("a", "b"), ["a", "b"], "left_anti")
-        right = fresh.join(self.bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = right.join(self.bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        threshold, n = self.threshold, self.n
-        both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _check(it, threshold, n), self.schema).write.mode("append").parquet(self.path)
-
-    def against_hub(self, members: DataFrame) -> DataFrame:
-        """Check each member (key, id, n) of a bucket against its least; those without a link that are not alone come back."""
-        hubs = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"))
-        pairs = members.join(hubs, "key").where(F.col("id") > F.col("hub.id")).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"))
-        self._align(pairs)
-        left = pairs.join(self.links(), ["a", "b"], "left_anti").select("key", F.col("a").alias("id"), F.col("na").alias("n"))
-        return stash(shared_only(left), "buckets")
-
-    def all_pairs(self, members: DataFrame) -> None:
-        """Check the pairs of buckets whose size is bounded."""
-        other = members.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-        self._align(members.join(other, "key").where(F.col("id") > F.col("b")).select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb"))
+def joining_links(lists: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links (i, j) between the shingle lists whose components are those of all links between them.
+
+    Components are grown from a text outwards; a text is compared with those that no component has yet.
+    """
+    count = np.array([len(x) for x in lists])
+    at, owner = np.concatenate([[0], np.cumsum(count)]), np.repeat(np.arange(len(lists)), count)
+    codes = np.unique(occurrence_labels(np.concatenate(lists), owner), return_inverse=True)[1]
+    free, found = np.ones(len(lists), bool), []
+
+    def index() -> tuple[np.ndarray, np.ndarray]:
+        own = np.flatnonzero(free[owner])
+        own = own[np.argsort(codes[own], kind="stable")]
+        return owner[own], np.concatenate([[0], np.cumsum(np.bincount(codes[own], minlength=codes.max() + 1))])
+
+    postings, ends = index()
+    indexed = len(lists)
+    central = np.add.reduceat(np.diff(ends)[codes], at[:-1])
+    for root in np.argsort(-central, kind="stable"):
+        if not free[root]:
+            continue
+        free[root], queue = False, [root]
+        while queue and (left := int(free.sum())):
+            if left * 2 <= indexed:
+                (postings, ends), indexed = index(), left
+            x = queue.pop()
+            c = codes[at[x] : at[x + 1]]
+            size = ends[c + 1] - ends[c]
+            places = np.repeat(ends[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            shared = np.bincount(postings[places], minlength=len(lists))
+            need = np.ceil((count + count[x]) * threshold / (1 + threshold) - 1e-9)
+            near = np.flatnonzero(free & (shared >= need))
+            for y in near[np.argsort(-shared[near], kind="stable")]:
+                if aligned(lists[x], lists[y], threshold):
+                    found.append((x, y))
+                    free[y] = False
+                    queue.append(y)
+    return found
+
+
+def _join_cell(cell: pa.Table, threshold: float) -> pa.Table:
+    ids = cell["id"].to_numpy()
+    found = joining_links([np.frombuffer(x.as_buffer(), U) for x in cell["hashes"]], threshold)
+    a, b = (ids[[x[k] for x in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _pack(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j in row_slices(batch["text"]):
+            part = batch.slice(i, j - i)
+            packed = [x.tobytes() for x in _hash_lists(part["text"], n)]
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array(packed, pa.binary())], ["id", "hashes"])
+
+
+def pair_links(members: DataFrame, bodies: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Links (a, b) of buckets of a bounded number of members (key, id, n): every pair of near enough sizes is aligned."""
+    other = members.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
+    near = F.least("n", "nb") >= threshold * F.greatest("n", "nb")
+    pairs = members.join(other, "key").where(F.col("id") < F.col("b")).where(near).select(F.col("id").alias("a"), "b").distinct()
+    right = pairs.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    checked = both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _check(it, threshold, n), "a long, b long, linked boolean")
+    return checked.where("linked").select("a", "b")
+
+
+def cell_links(members: DataFrame, bodies: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Links (a, b) that join what is similar in buckets (key, id, n) of any size, worked off in cells of bounded size."""
+    step = max(log(1 / threshold), 0.01)
+    size_class = F.floor(F.log("n") / step + 1e-9).cast("int")
+    # a class meets itself and the one above; where no member is of the upper class, the lower has met already
+    placed = members.select("key", "id", F.explode(F.array(size_class, size_class + 1)).alias("g"), size_class.alias("c"))
+    sizes = placed.groupBy("key", "g").agg(F.count("*").alias("texts"), F.max(F.col("c") == F.col("g")).alias("own")).where("own and texts > 1")
+    block_texts = F.greatest(F.lit(8.0), F.least(F.lit(float(CELL_TEXTS)), CELL_SHINGLES / F.exp((F.col("g") + 1) * step)))
+    blocks = sizes.select("key", "g", F.ceil(F.col("texts") / block_texts).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.col("blocks") == 1) | (j != F.col("block")))
+    pairs = F.transform(others, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    cells = placed.join(blocks, ["key", "g"]).withColumn("block", block).select("id", "key", "g", F.explode(pairs).alias("pair"))
+    packed = bodies.select("id", "text").join(members.select("id").distinct(), "id", "left_semi").mapInArrow(lambda it: _pack(it, n), "id long, hashes binary")
+    return cells.join(packed, "id").groupBy("key", "g", "pair").applyInArrow(lambda cell: _join_cell(cell, threshold), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, sample: int = SAMPLE) -> DataFrame:
@@ -191,25 +236,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
     distinct = sketched.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("keys").alias("keys"))
     texts = stash(distinct.withColumn("id", F.monotonically_increasing_id()), "sketches")
     members = texts.select("id", "n", F.explode("keys").alias("key"))
-    open_members = stash(shared_only(members), "buckets")
-    wanted = texts.select("id", "content").join(open_members.select("id").distinct(), "id")
+    shared = stash(members.join(members.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "key"), "buckets")
+    wanted = texts.select("id", "content").join(shared.select("id").distinct(), "id")
     bodies = stash(named.select("content", "text").join(wanted, "content").groupBy("id").agg(F.min("text").alias("text")), "bodies")
-
-    checks = Checks(bodies, threshold, n)
-    for level in range(2):
-        for _ in range(2):
-            open_members = checks.against_hub(open_members)
-        counts = open_members.groupBy("key").count()
-        checks.all_pairs(open_members.join(counts.where(F.col("count") <= SMALL).select("key"), "key"))
-        open_members = open_members.join(counts.where(F.col("count") > SMALL).select("key"), "key")
-        if level == 0:
-            held = open_members.groupBy("id", "n").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-            joint = held.select("id", "n", F.explode("keys").alias("x"), "keys").select("id", "n", "x", F.explode("keys").alias("y")).where("x < y")
-            open_members = stash(shared_only(joint.select("id", "n", F.xxhash64("x", "y").alias("key"))), "joint")
-            checks.narrow(open_members)
-    while open_members.limit(1).count():
-        open_members = checks.against_hub(open_members)
-    links = checks.links()
+    small = pair_links(shared.where(F.col("texts") <= SMALL), bodies, threshold, n)
+    large = cell_links(shared.where(F.col("texts") > SMALL), bodies, threshold, n)
+    links = stash(small.union(large), "links")
     roots = components(links)
     grouped = texts.join(roots, "id", "left").select("content", "doc_id", F.coalesce("root", "id").alias("class_key"))
     names = grouped.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))

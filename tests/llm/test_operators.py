@@ -73,6 +73,44 @@ def test_near_duplicates(docs, corpus, empty):
     assert near_dups.label(empty).count() == 0
 
 
+@pytest.mark.parametrize("small", [1, 8])
+def test_large_group_of_near_copies(spark, monkeypatch, small):
+    """Copies around the threshold, in buckets cut into many cells, fall into the classes of all links."""
+    monkeypatch.setattr(near_dups, "SMALL", small)
+    monkeypatch.setattr(near_dups, "CELL_TEXTS", 8)
+    rng = random.Random(3)
+    base = sentence(rng, 100).split(" ")
+    lists = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(k % 10):
+            words[rng.randrange(100)] = f"new{rng.randrange(10**6)}"
+        lists.append(words[: 100 - k % 3])
+    root = list(range(60))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    grams = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in lists]
+    for i in range(60):
+        for j in range(i):
+            if common_length(grams[i], grams[j]) >= 0.8 * (len(grams[i]) + len(grams[j])) / 1.8 - 1e-9:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    found = near_dups.label(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lists)], "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [(i, find(i)) for i in range(60)]
+
+
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], (last + 1 if x == y else max(row[j], row[j - 1]))
+    return row[-1]
+
+
 def test_alignment_is_exact():
     rng = random.Random(3)
     for _ in range(400):
