@@ -230,7 +230,7 @@ def cell_links(members: DataFrame, bodies: DataFrame, threshold: float, n: int)
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BANDS, sample: int = SAMPLE) -> DataFrame:
-    """(content, class_key, class_id) of each distinct text with words: the class by a key of this run and by its least document id."""
+    """(content, least_id, class_key, class_id) of each distinct text with words: the class by a key of this run and by its least document id."""
     named = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), content_of().alias("content"))
     sketched = named.mapInArrow(lambda it: _sketch(it, n, bands, sample), "doc_id long, content binary, n long, keys array<long>").where("n > 0")
     distinct = sketched.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("keys").alias("keys"))
@@ -245,7 +245,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
     roots = components(links)
     grouped = texts.join(roots, "id", "left").select("content", "doc_id", F.coalesce("root", "id").alias("class_key"))
     names = grouped.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
-    return grouped.select("content", "class_key").join(names, "class_key").select("content", "class_key", "class_id")
+    return grouped.select("content", F.col("doc_id").alias("least_id"), "class_key").join(names, "class_key").select("content", "least_id", "class_key", "class_id")
 
 
 def label(docs: DataFrame, **options) -> DataFrame:
@@ -257,9 +257,11 @@ def label(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, one for each class: that of the least id, then the least content; texts without words all stay."""
-    found = stash(classes(docs, **options).select(F.col("content").alias("class_content"), "class_key"), "classes")
-    row, content = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), content_of()
-    ranked = docs.select(row.alias("row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), content).alias("rank"), content.alias("class_content"))
-    joined = ranked.join(found, "class_content", "left")
-    best = joined.where("class_key is not null").groupBy("class_key").agg(F.min_by("row", "rank").alias("row")).select("row.*")
-    return best.unionByName(joined.where("class_key is null").select("row.*"))
+    wordy = text_of().rlike("[0-9A-Za-z]|[^\\x00-\\x7F]")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    # whole rows move once, by content and after equal texts were merged; the choice within a class moves ids and digests
+    best = docs.where(wordy).select(row.alias("row"), rank.alias("rank"), content_of().alias("class_content")).groupBy("class_content").agg(F.min_by("row", "rank").alias("row"))
+    first = F.struct(F.col("least_id").isNull(), "least_id", "content")
+    chosen = classes(docs, **options).groupBy("class_key").agg(F.min_by("content", first).alias("class_content"))
+    return best.join(chosen.select("class_content"), "class_content", "left_semi").select("row.*").unionByName(docs.where(~wordy))
