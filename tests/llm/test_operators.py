@@ -186,6 +186,43 @@ def test_licenses(spark, empty):
     assert licenses.find_licenses(empty).count() == 0
 
 
+def _noisy(rng, n):
+    common = " ".join(x for v in licenses.NOTICES.values() for x in v).split()
+    return " ".join(rng.choice(common) if rng.random() < 0.3 else sentence(rng, 1) for _ in range(n))
+
+
+def test_license_alignment():
+    rng = random.Random(3)
+
+    def least(pattern, text):  # all of the pattern against any prefix of the text, word by word
+        row = list(range(len(text) + 1))
+        for k, w in enumerate(pattern, 1):
+            new = [k]
+            for j, v in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] if v == w else len(pattern) + len(text)))
+            row = new
+        return min(row)
+
+    for _ in range(2000):
+        pattern, text = (rng.choices("abc", k=rng.randint(0, 9)) for _ in range(2))
+        found, least_edits = licenses.extend(pattern, text, 4), least(pattern, text)
+        assert (found is None) == (least_edits > 4)
+        if found:
+            used, missing, inserted = found
+            assert len(missing) + len(inserted) == least_edits
+            assert Counter(text[:used]) == Counter(pattern) - Counter(missing) + Counter(inserted)
+
+
+@pytest.mark.parametrize("size", [200, 3000])
+def test_licenses_in_long_lines(spark, size):
+    rng = random.Random(size)
+    rows = [(100 * k + j, f"{_noisy(rng, size)} {notices[-1]}") for j in range(3) for k, notices in enumerate(licenses.NOTICES.values())]
+    rows += [(-1, f"Released under the MIT License. {sentence(rng, 50)} Licensed under the Apache License, Version 2.0.")]
+    found = {(r.doc_id, r.license) for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(-1, "MIT"), (-1, "Apache-2.0")} <= found
+    assert {(100 * k + j, name) for j in range(3) for k, name in enumerate(licenses.NOTICES)} <= found
+
+
 def test_media(docs, corpus, empty):
     for raw in (b"", b"abc", bytes(range(256)) * 9, b"x" * 193):
         media = avi.encode(raw)
