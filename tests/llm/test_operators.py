@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -223,6 +224,19 @@ def test_licenses_in_long_lines(spark, size):
     assert {(100 * k + j, name) for j in range(3) for k, name in enumerate(licenses.NOTICES)} <= found
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "REM ", "dnl "])
+def test_licenses_across_lines(spark, mark):
+    rng, rows, expected = random.Random(2), [], set()
+    for name, notices in licenses.NOTICES.items():
+        for notice in notices:
+            for width in (30, 72):
+                body = [mark + line for line in textwrap.wrap(notice, width)]
+                rows.append((len(rows), "\n".join([sentence(rng, 9), "", *body, "", sentence(rng, 9)])))
+                expected.add((len(rows) - 1, 2, name))
+    found = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line, r.license) for r in found} == expected
+
+
 def test_media(docs, corpus, empty):
     for raw in (b"", b"abc", bytes(range(256)) * 9, b"x" * 193):
         media = avi.encode(raw)
