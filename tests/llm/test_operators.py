@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, with nulls, empty and repeated rows, long texts, clashing columns and empty tables."""
 
 import hashlib
+import os
 import random
 import re
 import textwrap
@@ -237,6 +238,51 @@ def test_licenses_across_lines(spark, mark):
     assert {(r.doc_id, r.line, r.license) for r in found} == expected
 
 
+def test_license_kinds():
+    def found(text):
+        return {r[1] for r in licenses.scanner(0.1).scan(licenses.words(text))}
+
+    head = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    for args, name in {
+        ("program", ";", "", ";", "2"): "GPL-2.0",
+        ("program", ":", "", ",", "3"): "GPL-3.0",
+        ("program", ":", "Affero ", ",", "3"): "AGPL-3.0",
+        ("library", ";", "Lesser ", ";", "2.1"): "LGPL-2.1",
+        ("library", ";", "Library ", ";", "2"): "LGPL-2.0",
+    }.items():
+        assert found(head.format(*args)) == {name}
+    assert not found(head.format("program", ";", "", ";", "9")) & {"GPL-1.0", "GPL-2.0", "GPL-3.0"}
+    for text, name in {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.": "CC-BY-NC-SA-3.0",
+        "Licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License": "CC-BY-ND-4.0",
+        "All rights reserved.": "All-Rights-Reserved",
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+        "Distributed under the terms of the GNU Lesser General Public License v2.1": "LGPL-2.1",
+        "Available under the terms of the GNU General Public Licence.": "GPL",
+        "released under the BSD license": "BSD",
+        "under the terms of the Mozilla Public License 2.0": "MPL-2.0",
+    }.items():
+        assert found(text) == {name}, text
+    for text in ("a license plate", "the driver was licensed under the old rules", "no rights", ""):
+        assert found(text) == set()
+
+
+def test_whole_license_texts():
+    folder = os.path.join(os.path.dirname(licenses.__file__), "license_texts")
+    for file in sorted(os.listdir(folder)):
+        name, text = file.removesuffix(".txt"), open(os.path.join(folder, file)).read()
+        found = Counter(r[1] for r in licenses.scanner(0.1).scan(licenses.words(text)))
+        assert set(found) <= {name, name.split("-")[0], "GNU"} and found[name] >= 4, (name, found)
+    clauses = licenses.NOTICES["BSD"][0] + ": {}" + licenses.NOTICES["BSD"][1] + " {}" + licenses.NOTICES["BSD"][2]
+    warranty = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+    third = " {}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    for marks in (("1. ", "2. ", "3. "), ("* ", "* ", "* ")):
+        two, three = clauses.format(*marks[:2]) + warranty, clauses.format(*marks[:2]) + third.format(marks[2]) + warranty
+        for text, name in ((two, "BSD-2-Clause"), (three, "BSD-3-Clause")):
+            assert {r[1] for r in licenses.scanner(0.1).scan(licenses.words(text))} == {"BSD", name}
+
+
 def test_media(docs, corpus, empty):
     for raw in (b"", b"abc", bytes(range(256)) * 9, b"x" * 193):
         media = avi.encode(raw)
