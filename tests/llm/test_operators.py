@@ -353,6 +353,26 @@ def test_personal_data(docs, corpus, empty):
     assert model and set(pii.added_spans(texts[0], model, [])) >= set() and len(model[1]) == 3
 
 
+def test_personal_data_beyond_strict_rules():
+    rng = random.Random(4)
+    texts = []
+    for k in range(600):
+        number = f"{rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(0, 9999):04d}"
+        parts = [f"+1 ({number}", f"{sentence(rng, 1)}.{k}@mail{k % 9}.example.com", f"10.0.{k % 256}.{k % 200}", f"{rng.randint(10**15, 10**16 - 1)}"]
+        texts.append(" ".join(f"{sentence(rng, 5)} {x} {sentence(rng, 5)}" for x in parts))
+    texts += [f"{sentence(rng, 5)} (415) 555-{k:04d} {sentence(rng, 5)}" for k in range(200)]  # strict rules miss these, which is no evidence
+    model = pii.train(texts)
+
+    def added(body):
+        text = f"{sentence(rng, 5)} {body} {sentence(rng, 5)}"
+        return {text[a:b] for a, _, b in pii.added_spans(text, model, pii.base_spans(text))}
+
+    for body in ("(415) 555-0100", "415-555-0100", "212.555.0199", "joe (at) example (dot) com", "ann.lee [at] mail.example.org", "ann @ mail.example.org"):
+        assert body in added(body), body
+    for body in ("1234567812345678", "2024-01-15", "1.2.3", "meet (at) noon", "978-3-16-148410-0", "dafbac99949115180e7593de87b4492b"):
+        assert added(body) == set(), body
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_decontamination(docs, corpus, empty, limit):
     spark = docs.sparkSession
