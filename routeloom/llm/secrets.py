@@ -45,10 +45,11 @@ ADDED = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("bearer", r"(?i)bearer\x20{1,4}[A-Za-z0-9._~+/-]{20,}"),
-    Rule("url", r"://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/@]{1,64}@"),
+    Rule("bearer", r"(?i)bearer\x20++[A-Za-z0-9._~+/-]{20,}"),
+    Rule("url", r"://[^\x20\x09-\x0D/:@]++:[^\x20\x09-\x0D/@]++@"),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]{22,}"),
 )
 RULES = BASE + ADDED
 

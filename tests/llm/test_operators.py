@@ -373,6 +373,21 @@ def test_personal_data_beyond_strict_rules():
         assert added(body) == set(), body
 
 
+def test_secrets_of_any_length(spark):
+    cases = {
+        "url": "://x:" + "t0" * 60 + "@",
+        "github_pat": "github_pat_" + "a1B2_" * 16,
+        "bearer": "Bearer" + " " * 9 + "abcdefghijklmnopqrstuvwx",
+        "pem": "-----BEGIN " + "VERY " * 12 + "PRIVATE KEY-----",
+    }
+    rows = [(k, f"see https{x}host now" if name == "url" else f"see {x} now") for k, (name, x) in enumerate(cases.items())]
+    found = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kinds = [r.kind for r in secrets.RULES]
+    for k, (name, x) in enumerate(cases.items()):
+        start = rows[k][1].index(x)
+        assert (start, start + len(x)) in {(s.start, s.end) for s in found[k].spans if kinds[s.kind] == name}, name
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_decontamination(docs, corpus, empty, limit):
     spark = docs.sparkSession
