@@ -7,12 +7,16 @@ in a band where they agree on those shingles and on their order.
 Check.  The similarity of two texts is L / (m + n - L) for their m and n shingles and the L shingles of the best
 order-preserving alignment.  Only a band around the diagonal can reach the threshold, and only that is aligned.
 
-Classes.  Buckets of up to SMALL texts give their pairs, which are aligned once each.  Larger buckets are cut by the
-number of shingles, as texts more than a factor 1 / threshold apart can't be similar, and then by hash into blocks of a
-bounded number of shingles; every two blocks of a bucket meet in a cell.  A cell counts the shingles that its texts share,
-aligns those pairs that share enough and aren't joined yet, and returns links that join what is similar: fewer than it has
-texts, so no task holds more than a cell and no list of all pairs is made.  No pair is left out by a cap.  Classes are the
-connected components of the links.
+Classes.  A bucket's text with the most company in its buckets is its representative.  Each text is first aligned with one
+representative only, so these links are fewer than texts, and what they join need not meet again.  Buckets that still
+hold several components go on: those of up to SMALL texts give their pairs of different components, which are aligned once each.
+In larger ones, the texts outside the bucket's main component meet the texts of that component, once for all buckets,
+and each other.  Both is worked off in cells of a bounded number of shingles and texts, which count shared shingles,
+align those pairs that share enough and return links that join what is similar, fewer than they have texts.
+No pair is left out by a cap.  Classes are the connected components of the links.
+
+Long texts: alignment takes the matches within the band, about as many as shingles where these seldom repeat, and falls back
+to the full band where they repeat much.
 
 Defined results: equal texts are one text throughout; a text of 1 to n-1 words has one shingle; a text without words (null,
 empty) is alone, in the class of its own id; a class is named by its least id, null if all are null; an empty table
@@ -21,6 +25,7 @@ gives no rows.  Only the named columns are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import ceil, log
 
@@ -106,15 +111,34 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
             return True
     left, right = len(a) - need, len(b) - need  # no path may leave out more
     codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
-    ca, width = codes[: len(a)], left + right + 1
-    cb = np.concatenate([np.full(left, -1), codes[len(a) :], np.full(right + len(a), -1)])
+    ca, cb = codes[: len(a)], codes[len(a) :]
+    return banded_length(ca, cb, left, right) >= need
+
+
+def banded_length(a: np.ndarray, b: np.ndarray, left: int, right: int) -> int:
+    """The longest common subsequence of two code lists with matches (i, j) in the band -left <= j - i <= right only."""
+    at, reach = np.arange(len(a)), len(b) + 1
+    order = np.argsort(b, kind="stable")
+    places = b[order] * reach + order
+    first = np.searchsorted(places, a * reach + np.maximum(at - left, 0))
+    size = np.maximum(np.searchsorted(places, a * reach + np.minimum(at + right, len(b)), "right") - first, 0)
+    width = left + right + 1
+    if size.sum() * 16 <= len(a) * width:  # few matches: the longest rising sequence of their places in b
+        ends: list[int] = []
+        last = (first + size - 1).tolist()
+        for stop, n in zip(last, size.tolist(), strict=True):
+            for j in order[stop - n + 1 : stop + 1][::-1].tolist():
+                k = bisect_left(ends, j)
+                ends[k : k + 1] = [j]
+        return len(ends)
+    padded = np.concatenate([np.full(left, -1), b, np.full(right + len(a), -1)])
     row, up = np.zeros(width, np.int64), np.zeros(width, np.int64)
     for i in range(len(a)):
         up[:-1] = row[1:]
         up[-1] = row[-1]
-        np.maximum(up, row + (cb[i : i + width] == ca[i]), out=up)
+        np.maximum(up, row + (padded[i : i + width] == a[i]), out=up)
         np.maximum.accumulate(up, out=row)
-    return int(row[len(b) - len(a) + left]) >= need
+    return int(row[len(b) - len(a) + left])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], n: int, bands: int, sample: int) -> Iterator[pa.RecordBatch]:
@@ -193,6 +217,39 @@ def _join_cell(cell: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def hub_matches(minors: list[np.ndarray], mains: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """For each of `minors` that is similar to any of `mains` one such link (i, j)."""
+    lists = minors + mains
+    count = np.array([len(x) for x in lists])
+    at, owner = np.concatenate([[0], np.cumsum(count)]), np.repeat(np.arange(len(lists)), count)
+    codes = np.unique(occurrence_labels(np.concatenate(lists), owner), return_inverse=True)[1]
+    own = np.flatnonzero(owner >= len(minors))
+    own = own[np.argsort(codes[own], kind="stable")]
+    postings, ends = owner[own] - len(minors), np.concatenate([[0], np.cumsum(np.bincount(codes[own], minlength=codes.max() + 1))])
+    found = []
+    for x in range(len(minors)):
+        c = codes[at[x] : at[x + 1]]
+        size = ends[c + 1] - ends[c]
+        places = np.repeat(ends[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        shared = np.bincount(postings[places], minlength=len(mains))
+        need = np.ceil((count[len(minors) :] + count[x]) * threshold / (1 + threshold) - 1e-9)
+        near = np.flatnonzero(shared >= need)
+        for y in near[np.argsort(-shared[near], kind="stable")]:
+            if aligned(minors[x], mains[y], threshold):
+                found.append((x, int(y)))
+                break
+    return found
+
+
+def _join_hub(cell: pa.Table, threshold: float) -> pa.Table:
+    minor = cell["minor"].to_numpy(zero_copy_only=False)
+    sides = [(own["id"].to_numpy(), [np.frombuffer(x.as_buffer(), U) for x in own["hashes"]]) for own in (cell.filter(pa.array(minor)), cell.filter(pa.array(~minor)))]
+    (left, minors), (right, mains) = sides
+    found = hub_matches(minors, mains, threshold) if minors and mains else []
+    a, b = left[[x for x, _ in found]], right[[y for _, y in found]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def _pack(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in row_slices(batch["text"]):
@@ -201,26 +258,66 @@ def _pack(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part["id"], pa.array(packed, pa.binary())], ["id", "hashes"])
 
 
-def pair_links(members: DataFrame, bodies: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Links (a, b) of buckets of a bounded number of members (key, id, n): every pair of near enough sizes is aligned."""
-    other = members.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = F.least("n", "nb") >= threshold * F.greatest("n", "nb")
-    pairs = members.join(other, "key").where(F.col("id") < F.col("b")).where(near).select(F.col("id").alias("a"), "b").distinct()
+def aligned_pairs(pairs: DataFrame, bodies: DataFrame, threshold: float, n: int) -> DataFrame:
+    """The similar ones of distinct pairs (a, b)."""
     right = pairs.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     checked = both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _check(it, threshold, n), "a long, b long, linked boolean")
     return checked.where("linked").select("a", "b")
 
 
+def star_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
+    """At most one pair (a, b) for each text: with the representative, among those of its buckets, that has the most company."""
+    central = buckets.groupBy("id").agg(F.sum("texts").alias("central"))
+    rank = F.struct("central", "tie")
+    ranked = buckets.join(central, "id").select("key", "id", "n", rank.alias("rank"))
+    best = ranked.groupBy("key").agg(F.max(F.struct("rank", F.col("id").alias("rep"), F.col("n").alias("nb"))).alias("best"))
+    chosen = ranked.join(best, "key").groupBy("id").agg(F.max("best").alias("best"), F.first("n").alias("n"))
+    near = F.least("n", "best.nb") >= threshold * F.greatest("n", "best.nb")
+    return chosen.where((F.col("id") != F.col("best.rep")) & near).select(F.least("id", "best.rep").alias("a"), F.greatest("id", "best.rep").alias("b")).distinct()
+
+
+def bucket_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of different components in buckets (key, id, n, part) of a bounded number of members, of near enough sizes."""
+    other = members.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("other"))
+    near = F.least("n", "nb") >= threshold * F.greatest("n", "nb")
+    return members.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("part") != F.col("other")) & near).select(F.col("id").alias("a"), "b").distinct()
+
+
+def hub_links(minors: DataFrame, parts: DataFrame, bodies: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Links (a, b) of texts (hub, id, n) with texts of the component `hub` among parts (part, id, n), in cells of bounded size."""
+    minors = minors.distinct()
+    wide = minors.groupBy("hub").agg(F.count("*").alias("m"), F.max("n").alias("most"))
+    mains = parts.join(wide.select(F.col("hub").alias("part")), "part").select(F.col("part").alias("hub"), "id")
+    sizes = wide.join(mains.groupBy("hub").agg(F.count("*").alias("g")), "hub")
+    texts = F.greatest(F.lit(8.0), F.least(F.lit(float(CELL_TEXTS)), CELL_SHINGLES / F.col("most")))
+    blocks = sizes.select("hub", F.ceil(F.col("m") / texts).cast("int").alias("mb"), F.ceil(F.col("g") / texts).cast("int").alias("gb"))
+
+    def block(of: str):
+        return F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+
+    def each(of: str):
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    left = minors.join(blocks, "hub").select("hub", "id", F.lit(True).alias("minor"), block("mb").alias("i"), each("gb").alias("j"))
+    right = mains.join(blocks, "hub").select("hub", "id", F.lit(False).alias("minor"), each("mb").alias("i"), block("gb").alias("j"))
+    cells = left.union(right)
+    packed = bodies.join(cells.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(lambda it: _pack(it, n), "id long, hashes binary")
+    return cells.join(packed, "id").groupBy("hub", "i", "j").applyInArrow(lambda cell: _join_hub(cell, threshold), "a long, b long").distinct()
+
+
 def cell_links(members: DataFrame, bodies: DataFrame, threshold: float, n: int) -> DataFrame:
     """Links (a, b) that join what is similar in buckets (key, id, n) of any size, worked off in cells of bounded size."""
     step = max(log(1 / threshold), 0.01)
     size_class = F.floor(F.log("n") / step + 1e-9).cast("int")
     # a class meets itself and the one above; where no member is of the upper class, the lower has met already
-    placed = members.select("key", "id", F.explode(F.array(size_class, size_class + 1)).alias("g"), size_class.alias("c"))
+    whole = (F.col("texts") <= CELL_TEXTS) & (F.col("texts") * F.col("most") <= CELL_SHINGLES)  # one cell without classes
+    counted = members.join(members.groupBy("key").agg(F.count("*").alias("texts"), F.max("n").alias("most")).where("texts > 1"), "key")
+    classed = counted.select("key", "id", F.when(whole, -1).otherwise(size_class).alias("c"))
+    placed = classed.select("key", "id", F.explode(F.when(F.col("c") < 0, F.array("c")).otherwise(F.array("c", F.col("c") + 1))).alias("g"), "c")
     sizes = placed.groupBy("key", "g").agg(F.count("*").alias("texts"), F.max(F.col("c") == F.col("g")).alias("own")).where("own and texts > 1")
     block_texts = F.greatest(F.lit(8.0), F.least(F.lit(float(CELL_TEXTS)), CELL_SHINGLES / F.exp((F.col("g") + 1) * step)))
-    blocks = sizes.select("key", "g", F.ceil(F.col("texts") / block_texts).cast("int").alias("blocks"))
+    blocks = sizes.select("key", "g", F.when(F.col("g") < 0, 1).otherwise(F.ceil(F.col("texts") / block_texts)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.col("blocks") == 1) | (j != F.col("block")))
     pairs = F.transform(others, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
@@ -235,13 +332,20 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
     sketched = named.mapInArrow(lambda it: _sketch(it, n, bands, sample), "doc_id long, content binary, n long, keys array<long>").where("n > 0")
     distinct = sketched.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("keys").alias("keys"))
     texts = stash(distinct.withColumn("id", F.monotonically_increasing_id()), "sketches")
-    members = texts.select("id", "n", F.explode("keys").alias("key"))
+    members = texts.select("id", "n", F.xxhash64("content").alias("tie"), F.explode("keys").alias("key"))
     shared = stash(members.join(members.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "key"), "buckets")
     wanted = texts.select("id", "content").join(shared.select("id").distinct(), "id")
     bodies = stash(named.select("content", "text").join(wanted, "content").groupBy("id").agg(F.min("text").alias("text")), "bodies")
-    small = pair_links(shared.where(F.col("texts") <= SMALL), bodies, threshold, n)
-    large = cell_links(shared.where(F.col("texts") > SMALL), bodies, threshold, n)
-    links = stash(small.union(large), "links")
+    star = stash(aligned_pairs(star_pairs(shared, threshold), bodies, threshold, n), "star")
+    roots = components(star)
+    parts = stash(shared.groupBy("id").agg(F.first("n").alias("n")).join(roots, "id", "left").select("id", "n", F.coalesce("root", "id").alias("part")), "parts")
+    placed = shared.join(parts.select("id", "part"), "id")
+    mains = placed.groupBy("key", "part").agg(F.count("*").alias("own"), F.min("tie").alias("tie")).groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("own", "tie", "part")).alias("main"))
+    mixed = stash(placed.join(mains.where("several > 1").select("key", F.col("main.part").alias("hub")), "key"), "mixed")
+    small = aligned_pairs(bucket_pairs(mixed.where(F.col("texts") <= SMALL), threshold), bodies, threshold, n)
+    minors = mixed.where((F.col("texts") > SMALL) & (F.col("part") != F.col("hub")))
+    large = cell_links(minors.select("key", "id", "n"), bodies, threshold, n).union(hub_links(minors.select("hub", "id", "n"), parts, bodies, threshold, n))
+    links = stash(star.union(small).union(large), "links")
     roots = components(links)
     grouped = texts.join(roots, "id", "left").select("content", "doc_id", F.coalesce("root", "id").alias("class_key"))
     names = grouped.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))

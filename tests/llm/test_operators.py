@@ -126,6 +126,33 @@ def test_alignment_is_exact():
         assert near_dups.aligned(a, b, 0.8) == (common >= 0.8 * (len(a) + len(b) - common) - 1e-9)
 
 
+def test_alignment_of_long_near_copies():
+    rng = np.random.default_rng(5)
+    for alphabet in (40, 1000):  # few matches in the band, so that the sparse way is taken, against the full table
+        for _ in range(60):
+            a = rng.integers(0, alphabet, rng.integers(60, 120))
+            b = np.where(rng.random(len(a)) < 0.06, alphabet + 1, a)[rng.integers(0, 3) :]
+            band = int(rng.integers(3, 12))
+            row = {}
+            for i in range(len(a)):
+                for j in range(max(0, i - band), min(len(b), i + band + 1)):
+                    row[i, j] = max(row.get((i - 1, j - 1), 0) + (a[i] == b[j]), row.get((i - 1, j), 0), row.get((i, j - 1), 0))
+            assert near_dups.banded_length(a, b, band, band) == row[len(a) - 1, len(b) - 1]
+    a = rng.integers(0, 1 << 40, 300_000).astype(np.uint64)
+    b = np.delete(np.where(rng.random(len(a)) < 0.05, np.uint64(7), a), np.arange(0, 3000, 100))
+    assert near_dups.aligned(a, b, 0.8) and not near_dups.aligned(a, b[::-1], 0.8)
+
+
+def test_hub_matches():
+    rng = random.Random(9)
+    base = [np.array([rng.randrange(10**6) for _ in range(60)], np.uint64) for _ in range(4)]
+    copy = lambda: np.array([x if rng.random() > 0.09 else rng.randrange(10**6) for x in rng.choice(base)], np.uint64)
+    minors, mains = [copy() for _ in range(40)], [copy() for _ in range(30)]
+    similar = {(i, j) for i, a in enumerate(minors) for j, b in enumerate(mains) if near_dups.aligned(a, b, 0.8)}
+    found = near_dups.hub_matches(minors, mains, 0.8)
+    assert set(found) <= similar and sorted(i for i, _ in found) == sorted({i for i, _ in similar})
+
+
 def test_secrets(docs, corpus, empty):
     def brute(text):
         found = []
