@@ -2,15 +2,16 @@
 
 Each rule's pattern is parsed once, on the driver, into a Boolean trigram query: a conjunction of
 alternatives, each of which is the set of trigrams that cover a string that a match must hold (in lower case).
-The index posts (trigram, text digest) for the trigrams of all rules.  Intersecting the postings of a digest
-against the queries yields candidate rules for each text, and only those run their pattern on it.  A rule
-without a mandatory trigram runs on every text.
+The index is a written table of postings (trigram, text digest), sorted by trigram, for the trigrams of all rules.  A rule reads
+the posting lists of its trigrams and intersects them: the digests in all lists of a set, in any set of an alternative, in every
+alternative.  Only these candidates run the rule's pattern.  A rule without a mandatory trigram runs on every text.
 
 Spans count code points, end exclusive.  Matches of a rule are leftmost and non-overlapping; matches whose
 measured group is shorter than the rule's `least` are dropped, without a retry.
 
 Defined results: a null text is empty and has no spans; a null id is kept; equal texts give equal spans; an
-empty table gives no rows.  Only the named columns are read.
+empty table gives no rows.  Only the named columns are read.  Offsets are summed in chunks, so a long text with many
+spans costs about its length.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stash, text_of
 
 SEEN = 32
+CHUNK = 512
+PIECE = 4096
 
 
 @dataclass(frozen=True)
@@ -126,69 +129,107 @@ def _digest() -> Column:
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index for these trigrams: (trigram, digest), one row a posting before equal texts are merged."""
-    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.select(_digest().alias("digest"), F.lower(text_of()).alias("low")).select("digest", F.explode(present).alias("trigram"))
+    """The inverted index for these trigrams: each distinct (trigram, digest) once, in the order of the trigrams."""
+    posted = docs.select(_digest().alias("digest"), F.lower(text_of()).alias("low")).select("digest", F.explode(_present("low", trigrams)).alias("trigram"))
+    return stash(posted.distinct().sortWithinPartitions("trigram", "digest"), "postings")
+
+
+def _present(low: str, trigrams: list[str]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(digest, rules): the rules whose query the postings of the digest satisfy; at most the rules' trigrams meet in a row."""
-    held = index.groupBy("digest").agg(F.collect_set("trigram").alias("held"))
-    terms = []
+    """(digest, rules): the rules whose query the posting lists satisfy.
+
+    The queries are a table (rule, clause, choice, trigram), as large as the rules, that every task gets.
+    """
+    terms, needs = [], []
     for k, rule in enumerate(rules):
         query = trigram_query(rule.pattern)
-        if query:
-            met = F.lit(True)
-            for clause in query:
-                any_of = F.lit(False)
-                for grams in clause:
-                    any_of = any_of | (F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(grams))))) == len(grams))
-                met = met & any_of
-            terms.append(F.when(met, F.lit(k)))
-    return held.select("digest", F.array_compact(F.array(*terms)).alias("rules")).where(F.size("rules") > 0)
-
-
-def _found(rule: Rule, k: int, wanted: Column) -> Column:
-    """Array of (start, kind, end) of one rule in `text`: pieces between matches give the offsets."""
-    pattern = F.lit(rule.pattern)
-    text = F.col("text")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    measured = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    parts = F.arrays_zip(matches.alias("match"), F.slice(F.split(text, rule.pattern, -1), 1, F.size(matches)).alias("before"), measured.alias("measured"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(k).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["measured"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(wanted & text.rlike(rule.pattern), walked).otherwise(none)
+        needs.append(len(query))
+        terms += [(k, c, a, g, len(grams)) for c, clause in enumerate(query) for a, grams in enumerate(clause) for g in sorted(grams)]
+    asked = index.sparkSession.createDataFrame(terms, "rule int, clause int, choice int, trigram string, need int")
+    lists = index.join(F.broadcast(asked), "trigram")
+    sets = lists.groupBy("digest", "rule", "clause", "choice").agg(F.count("*").alias("held"), F.first("need").alias("need")).where(F.col("held") == F.col("need"))
+    clauses = F.element_at(F.array(*map(F.lit, needs)), F.col("rule") + 1)
+    met = sets.groupBy("digest", "rule").agg(F.size(F.collect_set("clause")).alias("met")).where(F.col("met") == clauses)
+    return met.groupBy("digest").agg(F.collect_set("rule").alias("rules"))
+
+
+def _measured(rule: Rule, wanted: Column) -> Column:
+    """Lengths of the matches of one rule in `text`: what stands before each, the match, and its measured group."""
+    text, pattern = F.col("text"), F.lit(rule.pattern)
+    matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    measured = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
+    before = F.slice(F.transform(F.split(text, rule.pattern, -1), F.length), 1, F.size(matches))
+    none = F.array().cast("array<struct<before:int,match:int,measured:int>>")
+    return F.when(wanted & text.rlike(rule.pattern), F.arrays_zip(before.alias("before"), matches.alias("match"), measured.alias("measured"))).otherwise(none)
+
+
+def running(values: Column, step) -> Column:
+    """Running results of `step` (sum or greatest, 0 first) over an int array, CHUNK values at a time."""
+
+    def run(part: Column, keep_last: bool) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        each = lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(step(acc["at"], x) if keep_last else acc["at"])).alias("out"))
+        return F.aggregate(part, start, each, lambda acc: acc["out"])
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")), lambda c: run(F.slice(values, c * CHUNK + 1, F.lit(CHUNK)), True))
+    before = run(F.transform(chunks, lambda c: F.element_at(c, -1)), False)
+    whole = F.flatten(F.zip_with(chunks, before, lambda c, b: F.transform(c, lambda x: step(b, x))))
+    return F.when(F.size(values) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+
+def _added(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _spans(rules: tuple[Rule, ...]) -> Column:
+    """All spans of a row from `found` and `ends`, which hold an array for each rule."""
+    least = F.array(*[F.lit(r.least) for r in rules])
+
+    def of(k: Column) -> Column:
+        spans = F.zip_with(F.get("found", k), F.get("ends", k), lambda x, end: F.struct((end - x["match"]).alias("start"), k.alias("kind"), end.alias("end"), x["measured"].alias("measured")))
+        return F.transform(F.filter(spans, lambda s: s["measured"] >= F.get(least, k)), lambda s: F.struct(s["start"], s["kind"], s["end"]))
+
+    return F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(rules) - 1)), of)))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns, `text` (null as empty) and `spans`: array of (start, kind, end), kind an index into `rules`."""
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({g for q in queries for clause in q for grams in clause for g in grams})
+    kept = [f"keep_{c}" for c in keep]
     rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], text_of().alias("text"), _digest().alias("digest"))
     if trigrams:
+        # texts too short for any trigram have no candidates: they are dealt out evenly instead of meeting at one digest
+        spread = F.unhex(F.md5(F.concat_ws("|", F.rand(7).cast("string"))))
+        rows = rows.withColumn("digest", F.when(F.length("text") < 3, spread).otherwise(F.col("digest")))
         rows = rows.join(candidates(postings(docs.select("text"), trigrams), rules), "digest", "left")
     else:
         rows = rows.withColumn("rules", F.lit(None).cast("array<int>"))
-    found = []
-    for k, rule in enumerate(rules):
-        wanted = F.coalesce(F.array_contains("rules", k), F.lit(False)) if queries[k] else F.lit(True)
-        found.append(_found(rule, k, wanted))
-    return rows.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "text", F.array_sort(F.concat(*found)).alias("spans"))
+    wanted = [F.coalesce(F.array_contains("rules", k), F.lit(False)) if queries[k] else F.lit(True) for k in range(len(rules))]
+    rows = rows.select(*kept, "text", F.array(*[_measured(rule, wanted[k]) for k, rule in enumerate(rules)]).alias("found"))
+    rows = rows.select("*", F.transform("found", lambda own: F.transform(own, lambda x: x["before"] + x["match"])).alias("steps"))
+    rows = rows.select(*kept, "text", "found", F.transform("steps", lambda own: running(own, _added)).alias("ends"))
+    return rows.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "text", _spans(rules).alias("spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """`text` with each run of overlapping spans replaced by `mark`; spans in order of their start."""
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """`text` with each run of overlapping spans replaced by `mark`; spans in order of their start.
+
+    The text is cut into pieces first, so that a part of it is read from the piece it lies in.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def part(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        first, last = F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, j), F.lit(""))
+        inner = F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        return F.when(i == j, F.substring(first, a % PIECE + 1, b - a)).otherwise(F.concat(F.substring(first, a % PIECE + 1, F.lit(PIECE)), inner, F.substring(last, F.lit(1), b % PIECE)))
+
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    past = F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(spans))
+    runs = F.filter(F.zip_with(spans, past, lambda s, p: F.struct(p.alias("lo"), s["start"].alias("hi"))), lambda r: r["hi"] >= r["lo"])
+    head = F.array_join(F.transform(runs, lambda r: F.concat(part(r["lo"], r["hi"]), F.lit(mark))), "")
+    return F.when(F.size(spans) > 0, F.concat(head, part(F.element_at(ends, -1), F.length(text)))).otherwise(text)

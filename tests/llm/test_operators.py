@@ -415,6 +415,35 @@ def test_secrets_of_any_length(spark):
         assert (start, start + len(x)) in {(s.start, s.end) for s in found[k].spans if kinds[s.kind] == name}, name
 
 
+def test_secrets_of_long_texts_with_many_spans(spark):
+    rng = random.Random(6)
+    text = "é" + " ".join(f"{sentence(rng, rng.randint(1, 4))} {rng.getrandbits(64):016x}" if rng.random() < 0.7 else f"token={rng.getrandbits(80):020x}" for _ in range(9000)) + " end"
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    row = row.select("spans", secrets.redact(F.col("text"), F.col("spans")).alias("r")).first()
+    hexes = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    assert len(hexes) > 8000 and [(s.start, s.end) for s in row.spans if s.kind == 2] == hexes
+    out, at = [], 0
+    for s in row.spans:
+        if s.start >= at:
+            out.append(text[at : s.start] + "[SECRET]")
+        at = max(at, s.end)
+    assert row.r == "".join(out) + text[at:]
+
+
+def test_posting_lists(spark, docs):
+    query = [g for r in secrets.RULES for clause in secrets.trigram_query(r.pattern) for grams in clause for g in grams]
+    index = secrets.postings(docs.select("text"), sorted(set(query)))
+    assert index.count() == index.distinct().count()
+    wanted = {(bytes(r.digest), k) for r in secrets.candidates(index).collect() for k in r.rules}
+    for (text,) in docs.select("text").distinct().collect():
+        low = (text or "").lower()
+        own = hashlib.sha256((text or "").encode()).digest()
+        for k, rule in enumerate(secrets.RULES):
+            clauses = secrets.trigram_query(rule.pattern)
+            met = clauses and all(any(all(g in low for g in grams) for grams in clause) for clause in clauses)
+            assert ((own, k) in wanted) == bool(met)
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_decontamination(docs, corpus, empty, limit):
     spark = docs.sparkSession
