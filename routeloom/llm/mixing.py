@@ -7,7 +7,8 @@ whole times, and the fractional repetition goes to its documents in the order of
 the target is met, the last of them in part.
 
 Defined results: a null text has size 0; a null source is a source of its own; rows that agree in id and
-text share their part evenly; a table without words has targets of 0; an empty table gives no rows.  Only
+text share their part evenly; repeated ids with other texts and extra columns change nothing; sources that reach their
+clamp together are clamped together; a table without words has targets of 0; an empty table gives no rows.  Only
 the named columns are read.
 """
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import stash, text_of
 
+#: Sources that every task may get, of a few numbers each.
+FEW_SOURCES = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,5 +88,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5
     edge = _boundary(sums, "key").join(counts, ["sk", "key"]).select("sk", F.col("key").alias("edge_key"), F.floor(F.col("rest") / F.col("ties")).cast("long").alias("part"))
 
     extra = F.when(F.col("need") <= 0, 0).when(F.col("edge_key").isNull() | (F.col("key") < F.col("edge_key")), F.col("size")).when(F.col("key") == F.col("edge_key"), F.col("part")).otherwise(0)
-    joined = rows.join(targets.join(edge, "sk", "left"), "sk")
+    edges = stash(targets.join(edge, "sk", "left"), "edges")
+    if edges.count() <= FEW_SOURCES:  # a hot source then stays spread over its tasks; else skewed joins are split at run time
+        edges = F.broadcast(edges)
+    joined = rows.join(edges, "sk")
     return joined.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), F.col("whole").alias("repeats"))
