@@ -5,11 +5,14 @@ blocks, each block is compressed with every dictionary, and the language with th
 wins.  The score is the share of bytes that the winner saves against the runner-up; a text whose score
 is under `margin` is marked as rejected.
 
-At most `sample_per_language` labelled rows of a language make its dictionary, chosen by a digest of their text;
-this bounds what the driver holds.  Prediction covers every text whole.
+At most `sample_per_language` distinct labelled texts of a language make its dictionary: those with the least digests, of
+each an excerpt.  Copies count once, so a hot text can't fill the sample; this bounds what the driver holds.  Prediction
+covers every text whole.
 
 Defined results: a null text or one without letters is `und` with score 0 and rejected; ties go to the first
-language by code point with score 0; with no labelled rows every text is `und`; a null id is not held out.
+language by code point with score 0; with no labelled rows every text is `und`; a null id is not held out; repeated rows
+are each predicted; a long text is compressed block by block; an empty table gives no rows.  Columns of the input that are
+named like a result are replaced; all others are kept.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
@@ -28,6 +31,7 @@ BLOCK = 1 << 14
 LEVEL = 6
 EXCERPT = 600
 SMALLEST = 32 << 10
+RESULTS = ("lang_pred", "score", "rejected")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -48,11 +52,15 @@ def dictionaries(labelled: DataFrame, sample_per_language: int = 400, dictionary
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, sample_per_language / n)))])
     long = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(max(EXCERPT, 2 * dictionary_bytes // min(n, sample_per_language))))])[F.col("lang")]
     start = F.pmod(F.xxhash64(F.lit("excerpt"), "text"), F.greatest(F.length("text") - long, F.lit(1))).cast("int") + 1
-    sample = rows.where(rank <= share[F.col("lang")]).select("lang", rank.alias("rank"), F.col("text").substr(start, long).alias("excerpt"))
+    # three times the share before copies are merged; then the least ranks of each language
+    drawn = rows.where(rank <= 3 * share[F.col("lang")]).select("lang", rank.alias("rank"), F.col("text").substr(start, long).alias("excerpt"))
+    distinct = drawn.groupBy("lang", "rank").agg(F.min("excerpt").alias("excerpt"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
+    sample = distinct.withColumn("place", place).where(F.col("place") <= sample_per_language).select("lang", "rank", "excerpt")
     pieces: dict[str, list[tuple[float, str]]] = {}
     for lang, r, excerpt in sample.collect():
         pieces.setdefault(lang, []).append((r, letters(excerpt)))
-    raw = {k: " ".join(x for _, x in sorted(pieces.get(k, []))[: 2 * sample_per_language]).encode() for k in sorted(counts)}
+    raw = {k: " ".join(x for _, x in sorted(pieces.get(k, []))).encode() for k in sorted(counts)}
     same = min(dictionary_bytes, max(SMALLEST, min(map(len, raw.values()))))  # a longer dictionary would win for its length
     return {k: x[:same] for k, x in raw.items()}
 
@@ -88,7 +96,8 @@ def _predict(batches: Iterator[pa.RecordBatch], models, margin: float) -> Iterat
 
 
 def identify(docs: DataFrame, models: Mapping[str, bytes], margin: float = 0.005) -> DataFrame:
-    """The columns of `docs` (one of them `text`), then lang_pred, score and rejected."""
+    """The columns of `docs` (one of them `text`), then lang_pred, score and rejected in place of any of these names."""
+    docs = docs.drop(*RESULTS)
     shared = docs.sparkSession.sparkContext.broadcast(dict(models))
     fields = [f"`{name}` {kind}" for name, kind in docs.dtypes]
     return docs.mapInArrow(lambda it: _predict(it, shared, margin), ", ".join([*fields, "lang_pred string", "score double", "rejected boolean"]))
