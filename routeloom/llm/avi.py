@@ -11,8 +11,8 @@ Reading takes any baseline JPEG: frames of the layout above are read at once, ot
 Shots.  Frames are compared by 32-bin luma histograms; a cut stands where the difference exceeds the mean of
 the differences since the last cut by `spread` deviations and `floor`.  Each shot is a clip row with its times.
 
-Defined results: a null or empty text has a payload of 192 blanks; equal bytes give equal files; a null media
-value gives null fields and no clips; an empty table gives no rows.  Only the named columns are read.
+Defined results: a null or empty text has a payload of 192 blanks; equal bytes give equal files; a media value that is
+null, cut off or no baseline motion-JPEG AVI gives null fields and no clips; an empty table gives no rows.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -166,6 +166,7 @@ def decode_frame(jpeg: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of each component: its coefficients in zigzag order, a row a block in coding order, and its quantisers."""
     at, quant, codes, parts, restart = 2, {}, {}, [], 0
     width = height = 0
+    chosen: dict[int, int] = {}
     while at + 4 <= len(jpeg):
         marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
         body, at = jpeg[at + 4 : at + 2 + size], at + 2 + size
@@ -187,6 +188,8 @@ def decode_frame(jpeg: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
         elif marker == 0xDA:
             chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
             break
+    if not parts or not chosen or not min(width, height, *(min(p[1:3]) for p in parts)):
+        raise ValueError("no frame or no scan")
     scan = jpeg[at : jpeg.rfind(b"\xff\xd9")]
     h, v = max(p[1] for p in parts), max(p[2] for p in parts)
     units = -(-width // (8 * h)) * -(-height // (8 * v)) if len(parts) > 1 else -(-width // 8) * -(-height // 8)
@@ -273,6 +276,16 @@ def read(media: bytes) -> dict:
     return {"payload": payload, "clips": clips, "feature": feature}
 
 
+def try_read(media: bytes | None) -> dict | None:
+    """`read`, or None where the bytes can't be read."""
+    if media is None:
+        return None
+    try:
+        return read(media)
+    except (ValueError, LookupError, struct.error):
+        return None
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in row_slices(batch["text"]):
@@ -286,7 +299,7 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
-STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips string"
 CLIPS = "doc_id long, clip long, first_frame long, end_frame long, start_ms long, end_ms long"
 
 
@@ -294,26 +307,27 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (whole.slice(a, b - a) for whole in batches for a, b in row_slices(whole["media"])):
         rows: list[tuple] = []
         for doc, n, media in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-            if media is None:
-                rows.append((doc, n, None, None, None, None, None, None))
+            found = try_read(media)
+            if found is None:
+                rows.append((doc, n, *[None] * 7))
                 continue
-            found = read(media)
             p = found["payload"]
+            times = ",".join(f"{start}-{end}" for *_, start, end in found["clips"])
             own = (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])) if p is not None else (None,) * 3
-            rows.append((doc, n, *own, len(media), hashlib.sha256(media).hexdigest(), found["feature"]))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((doc, n, *own, len(media), hashlib.sha256(media).hexdigest(), found["feature"], times))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         names = [x.split()[0] for x in STORED.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 9, kinds, strict=True)], names)
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Digests and features of stored files, read back."""
+    """Digests, features and the clips (start-end in milliseconds, comma-joined) of stored files, read back."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_describe, STORED)
 
 
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(doc, *clip) for doc, media in zip(batch["doc_id"].to_pylist(), batch["media"].to_pylist(), strict=True) if media is not None for clip in read(media)["clips"]]
+        rows = [(doc, *clip) for doc, media in zip(batch["doc_id"].to_pylist(), batch["media"].to_pylist(), strict=True) for clip in (try_read(media) or {"clips": []})["clips"]]
         names = [x.split()[0] for x in CLIPS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 6)], names)
 
