@@ -18,7 +18,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _spans(found: DataFrame, base: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
     spans = F.col("spans")
     strict = F.filter(spans, lambda s: s["kind"] < len(base))
-    return found.select("doc_id", *span_counts(spans, base), F.sha2(span_labels(strict, kinds), 256).alias("base_sha256"), span_labels(spans, kinds).alias("spans"))
+    return found.select("doc_id", *span_counts(spans, base), F.sha2(span_labels(strict, kinds), 256).alias("base_sha256"), span_labels(spans, kinds).alias("spans"), F.size(spans).cast("long").alias("n_found"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

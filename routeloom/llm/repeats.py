@@ -192,7 +192,7 @@ def _strip(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, has_repeat) of every row."""
     named = docs.select("doc_id", text_of().alias("text"))
     hashed = named.select("doc_id", "text", F.sha2("text", 256).alias("content"))
     sketched = hashed.select("content", "text").where(F.octet_length("text") >= length).mapInArrow(lambda it: _anchors(it, length, gram), "content string, anchors array<long>, firsts array<long>, lasts array<long>")
@@ -234,10 +234,13 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     known = texts.select("id", "content", "copies").join(stripped, "id", "left").drop("id")
     rows = hashed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content").join(known, "content", "left")
     gone = F.col("copies") > 1
+    removed = F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
     return rows.select(
         "doc_id",
         "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        removed.alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "content")).alias("kept_sha256"),
+        (F.col("n_bytes") - removed).alias("n_kept"),
+        (removed > 0).alias("has_repeat"),
     )

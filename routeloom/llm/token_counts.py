@@ -10,7 +10,9 @@ has a space mark after its start run of marks, no merge crosses such a cut, so t
 repeat, so each worker remembers their counts.  A vocabulary without that property, and any text in which
 the cut would not be exact, is encoded whole.
 
-Defined results: a null or empty text has 0 tokens; equal texts are encoded once; an empty table gives no rows.
+Defined results: a null or empty text has 0 tokens; equal texts are encoded once; repeated rows and a null id are kept; long
+texts count whole; an empty table gives no rows.  Only the named columns are read.  The cache of another run with the same
+path is used where content and tokenizer agree; without a path the cache lives for one call.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -190,7 +191,8 @@ def brute_repeats(texts, length):
 def test_repeated_strings(spark, corpus, empty, shard_bytes):
     rows = [r for r in corpus if r[1] is None or len(r[1]) < 20_000] + [(99, "ab" * 300, None, None, None, None, None, None, None, None), (98, "\0é" * 200, None, None, None, None, None, None, None, None)]
     found = repeats.strip_repeats(spark.createDataFrame(rows, SCHEMA), shard_bytes=shard_bytes).collect()
-    assert sorted(tuple(r)[1:] for r in found) == sorted(brute_repeats([r[1] for r in rows], 400))
+    assert sorted(tuple(r)[1:5] for r in found) == sorted(brute_repeats([r[1] for r in rows], 400))
+    assert all(r.n_kept == r.n_bytes - r.n_removed and r.has_repeat == (r.n_removed > 0) for r in found)
     if shard_bytes == 2000:
         assert repeats.strip_repeats(empty).count() == 0
 
@@ -321,10 +323,29 @@ def test_media(docs, corpus, empty):
     for i, t, *_ in corpus:
         raw = (t or "").encode()
         assert rows[i, len(raw)].payload_sha256 == hashlib.sha256(avi.pad(raw)).hexdigest()
+        r = rows[i, len(raw)]
+        media, payload = avi.encode(raw), avi.pad(raw)
+        assert (r.payload_bytes, r.media_bytes, r.tail_crc32) == (len(payload), len(media), zlib.crc32(payload[-16:]))
+        assert r.media_sha256 == hashlib.sha256(media).hexdigest() and r.feature == avi.read(media)["feature"]
+    clips = {(r.doc_id, r.clip): (r.start_ms, r.end_ms) for r in avi.clips(avi.store(docs.where("doc_id is not null"))).collect()}
+    for (i, _), r in rows.items():
+        if i is not None:
+            spans = [clips[i, k] for k in range(len(r.clips.split(",")))]
+            assert r.clips == ",".join(f"{a}-{b}" for a, b in spans) and spans[0][0] == 0 and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
     assert avi.clips(avi.store(empty)).count() == 0
     assert avi.cuts(np.eye(2)[[0, 0, 1, 1, 1, 0]].repeat(16, axis=1) / 16) == [0, 2, 5]
 
 
+def test_unreadable_media(spark):
+    good = avi.encode(b"some bytes " * 40)
+    bad = [None, b"", b"RIFF", b"not an AVI file at all", good[:60], good[: len(good) // 2], good.replace(b"\xff\xc0", b"\xff\xc2"), good.replace(b"\xff\xda", b"\xff\xfe")]
+    frame = spark.createDataFrame([(k, 1, x) for k, x in enumerate([*bad, good])], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in avi.describe(frame).collect()}
+    assert len(rows) == len(bad) + 1 and rows[len(bad)].payload_sha256 == hashlib.sha256(avi.pad(b"some bytes " * 40)).hexdigest()
+    assert all(rows[k].feature is None and rows[k].clips is None for k in (0, 1, 2, 3, 6, 7))
+    assert {r.doc_id for r in avi.clips(frame).collect()} <= {4, 5, len(bad)}
+
+
 def test_token_counts(docs, corpus, empty, tmp_path):
     import public_tokenizers
     import sentencepiece
@@ -352,6 +373,16 @@ def test_language(spark, empty):
     held = [r for r in found if r.held_out and r.doc_id < 900]
     assert len(held) > 40 and sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
     assert all(r.lang_pred == "und" and r.score == 0 and r.rejected for r in found if r.doc_id in (900, 901))
+    copies = frame.unionByName(spark.createDataFrame([(1, rows[0][1], "aa")] * 3000, frame.schema))
+    assert len(language.dictionaries(copies)["aa"]) > 1000  # a hot text counts once
+    clash = frame.select("*", F.lit("zz").alias("lang_pred"), F.lit("x").alias("score"), F.lit(1).alias("extra"))
+    out = language.identify(clash, language.dictionaries(frame))
+    assert out.columns == ["doc_id", "text", "lang", "extra", "lang_pred", "score", "rejected"] and out.where("lang_pred = 'zz'").count() == 0
+    long = spark.createDataFrame([(7, " ".join(rng.choice(words["bb"]) for _ in range(60_000))), (7, "x"), (7, "x")], "doc_id long, text string")
+    answers = [r.lang_pred for r in language.identify(long, language.dictionaries(frame)).collect()]
+    assert len(answers) == 3 and "bb" in answers
+    tie = language.classifier({"b": b"same words here", "a": b"same words here"})("some other words")
+    assert tie == ("a", 0.0)
     assert language.dictionaries(empty) == {} and language.identify(frame, {}).where("lang_pred <> 'und'").count() == 0
 
 
