@@ -3,6 +3,12 @@
 All but the last return the columns of `documents`.  The first drops documents whose language is rejected, the second keeps
 one document of each near-duplicate class, the third drops documents that hold a benchmark item, the fourth masks secrets
 in the text, and the last mixes what is left to the source weights.
+
+Defined results.  A null or empty text and one without letters is rejected by the first stage; called on such rows, the later
+stages keep them (no words: no copy, no item, no secret, size 0).  Rows that repeat an id are rows of their own: equal texts
+leave one of them, different texts stay, and each goes or stays for its own text.  Null ids, languages and
+sources are kept, a null source being a source; a null n_chars stays null unless a secret is masked.  An empty benchmark
+drops nothing; empty documents give no rows.  Columns other than those of `documents` are left behind.
 """
 
 from __future__ import annotations
