@@ -54,7 +54,7 @@ GROUP BY g.id, b.item_id HAVING count(*) >= 0.8 * any_value(b.item_shingles)
 
 
 def _spans(k: int, rule: Rule) -> str:
-    pattern = rule.pattern.replace("'", "''")
+    pattern = rule.pattern.replace("'", "''").replace("++", "+")  # no backtracking in DuckDB, so possessive is the same there
     return f"""
   SELECT id, {k} AS k, '{rule.kind}' AS kind, upto - len(match) AS s, upto AS e FROM (
     SELECT id, match, measured, sum(len(before) + len(match)) OVER (PARTITION BY id ORDER BY i) AS upto FROM (
