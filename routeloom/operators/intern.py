@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aspath
+from .shared import checkpointed
 
 
 def dense_ids(keys: DataFrame, order: list[str], name: str, start: int = 1, spread: int | None = None) -> DataFrame:
@@ -13,11 +14,7 @@ def dense_ids(keys: DataFrame, order: list[str], name: str, start: int = 1, spre
 
     Rows are range-partitioned by the order; a row's id is the number of rows in earlier ranges plus its place in its own.
     """
-    placed = keys.repartitionByRange(*([spread] if spread else []), *order).withColumn("_part", F.spark_partition_id())
-    if keys.sparkSession.sparkContext.getCheckpointDir() is not None:
-        placed = placed.checkpoint()
-    else:
-        placed = placed.cache()
+    placed = checkpointed(keys.repartitionByRange(*([spread] if spread else []), *order).withColumn("_part", F.spark_partition_id()))
     offset, pairs = start, []
     for part, n in sorted(placed.groupBy("_part").count().collect()):
         pairs += [F.lit(part), F.lit(offset)]
@@ -39,3 +36,17 @@ def path_ids(elems: DataFrame, path: str = "path", peer_asn: str = "peer_asn") -
     rows = rows.withColumn("hash", aspath.path_hash(F.col("core"))).withColumn("core_text", aspath.path_text(F.col("core")))
     order = Window.partitionBy("hash").orderBy("core_text", "stripped")
     return rows.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+
+
+def with_paths(elems: DataFrame, store: DataFrame, path: str = "path", peer_asn: str = "peer_asn") -> DataFrame:
+    """`elems` with the id of its path (`hash`, `idx`) in a table of `path_ids`; null for a null path or one that is not there."""
+    core, stripped = aspath.core_path(F.col(path), F.col(peer_asn))
+    own = elems.withColumn("_core", aspath.path_text(core)).withColumn("_stripped", stripped)
+    known = store.select(F.col("core_text").alias("_core"), F.col("stripped").alias("_stripped"), "hash", "idx")
+    return own.join(known, ["_core", "_stripped"], "left").drop("_core", "_stripped")
+
+
+def rebuilt(ids: DataFrame, store: DataFrame, peer_asn: str = "peer_asn") -> DataFrame:
+    """`ids` (hash, idx, peer_asn, ...) with `path`, the interned path with its first hop put back where it was stripped; null for a null id."""
+    known = store.select("hash", "idx", "core", "stripped")
+    return ids.join(known, ["hash", "idx"], "left").withColumn("path", F.when(F.col("core").isNotNull(), aspath.full_path(F.col("core"), F.col("stripped"), F.col(peer_asn)))).drop("core", "stripped")

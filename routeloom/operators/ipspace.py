@@ -60,12 +60,20 @@ def prefix_intervals(prefixes: DataFrame, column: str = "prefix") -> DataFrame:
 def overlap(rows: DataFrame, counted: DataFrame, by: list[str], bits: int = BLOCK_BITS) -> DataFrame:
     """Addresses of each row's (lo, hi) that `counted` has, and whether the row lies wholly in them: `by`, n_overlap, covered.
 
-    Both sides are cut into blocks, so the range condition is checked within an equi-join.
+    Both sides are cut into blocks.  In a block the pieces of the union and the borders of the rows are laid on one line; what the
+    union has up to a border is a running sum, so a busy block costs a sort, not every pair.
     """
-    size = F.col("hi") - F.col("lo") + 1
-    left = cut_v4(rows.select(*by, "lo", "hi", size.alias("_size")), bits)
-    right = union_v4(counted, bits).select("block", F.col("lo").alias("clo"), F.col("hi").alias("chi"))
-    met = left.join(right, (left.block == right.block) & (left.lo <= right.chi) & (right.clo <= left.hi), "left")
-    part: Column = F.when(F.col("clo").isNotNull(), F.least("hi", "chi") - F.greatest("lo", "clo") + 1).otherwise(0)
+    left = cut_v4(rows.select(*by, "lo", "hi", (F.col("hi") - F.col("lo") + 1).alias("_size")), bits)
+    borders = left.select(*by, "_size", "block", F.explode(F.array(F.struct(F.col("hi").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("lo") - 1).alias("at"), F.lit(-1).alias("sign")))).alias("b"))
+    borders = borders.select(*by, "_size", "block", "b.at", "b.sign")
+    earlier = Window.partitionBy("block").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("hi") - F.col("lo") + 1).over(earlier), F.lit(0))
+    pieces = union_v4(counted, bits).select("block", F.col("lo").alias("at"), F.lit(0).alias("kind"), F.struct(before.alias("before"), "lo", "hi").alias("piece"))
+    points = borders.select("block", "at").distinct().select("block", "at", F.lit(1).alias("kind"), F.lit(None).cast(pieces.schema["piece"].dataType).alias("piece"))
+    last = F.last("piece", ignorenulls=True).over(Window.partitionBy("block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    line = pieces.union(points).withColumn("last", last).where("kind = 1")
+    upto = F.coalesce(F.col("last.before") + F.least("at", "last.hi") - F.col("last.lo") + 1, F.lit(0))
+    met = borders.join(line.select("block", "at", upto.alias("upto")), ["block", "at"])
+    part: Column = F.col("sign") * F.col("upto")
     total = met.groupBy(*by, "_size").agg(F.sum(part).cast("long").alias("n_overlap"))
     return total.select(*by, "n_overlap", (F.col("n_overlap") == F.col("_size")).alias("covered"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 
 def dump_position(messages: DataFrame, source: str = "resource_id", seq: str = "seq", kept: str = "kept") -> DataFrame:
     """Kept messages with `dump_pos`: E for the last kept one if nothing was filtered after it, B for the first one read if kept, else M.
@@ -35,8 +37,21 @@ def in_order(records: DataFrame, by_micros: bool = False) -> DataFrame:
 
 
 def rank_in_order(records: DataFrame, by: list[str]) -> DataFrame:
-    """Place in the merged stream within each group of `by`, from 1."""
-    return records.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*merge_order())))
+    """Place in the merged stream within each group of `by`, from 1.
+
+    Rows are range-partitioned by group and order, so a large group is sorted by many tasks; a row's place is the number of
+    its group's rows in earlier ranges plus its place in its own.
+    """
+    order = merge_order()
+    placed = checkpointed(records.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*by, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    named = counts.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], F.col("_part").alias("_range"), "_before")
+    same = F.col("_part") == F.col("_range")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{k}"))
+    place = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    return placed.withColumn("_place", place).join(named, same).withColumn("place", F.col("_place") + F.col("_before")).select(*records.columns, "place")
 
 
 def explode_elems(records: DataFrame, withdrawn4: str, withdrawn6: str, announced4: str, announced6: str) -> DataFrame:

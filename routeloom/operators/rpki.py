@@ -33,7 +33,7 @@ def validate(routes: DataFrame, roas: DataFrame, by: list[str]) -> DataFrame:
     """
     asof = snapshots_for(routes.select("t"), roas.select("snapshot"))
     timed = routes.join(asof, "t")
-    met = covering(timed.where(F.col("origin_asn").isNotNull()), roas).where(F.col("cover.snapshot") == F.col("snapshot"))
+    met = covering(timed.where(F.col("origin_asn").isNotNull()), roas, on=("snapshot",))
     valid = (F.col("cover.asn") == F.col("origin_asn")) & (F.col("prefix.len") <= F.col("cover.max_length"))
     found = met.groupBy(*by).agg(F.bool_or(valid).alias("_valid"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(",", F.col("cover.asn").cast("string"), F.concat_ws("-", F.col("cover.prefix.len").cast("string"), F.col("cover.max_length").cast("string"))))), ";").alias("roas"))
     status = F.when(F.col("origin_asn").isNull(), F.lit(None)).when(F.col("_valid"), "valid").when(F.col("_valid").isNotNull(), "invalid").otherwise("notfound")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import aspath, community, ip, render, times
 from ..operators import filters as flt
 from ..operators import intern, ipspace, prefixes, records, rpki
-from ..sources import catalog, rislive
+from ..sources import catalog, dumps, rislive
 from ..streaming import live
 from .elems import DUCK_ROAS, DUCK_VIEW, elem_view, supplier_roas
 
@@ -488,3 +488,95 @@ def peer_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("s").over(Window.partitionBy("collector", "peer_asn").orderBy("event_id"))
     flagged = rows.withColumn("changed", (~F.coalesce(before == F.col("s"), F.lit(False))).cast("long"))
     return flagged.groupBy("collector", "peer_asn").agg(F.max_by("s", "event_id").alias("new_state"), F.sum("changed").alias("changes"))
+
+
+#: IPv6 prefixes beside the view: /44 to /69 in a documentation network, by user, event and a part of the interface bits.
+V6_BASE = 0x20010DB800000000
+V6_SQL = f""", a AS (SELECT event_id, elem_type, 44 + event_id % 26 AS len6,
+      (CAST({V6_BASE} + (peer_asn - 64512) * 65536 + (event_id % 256) * 256 AS HUGEINT) * 4294967296 * 4294967296) + CAST(event_id % 4 AS HUGEINT) * 2305843009213693952 AS addr FROM e),
+    p AS (SELECT event_id, elem_type, len6, CAST(power(2, 128 - len6) AS HUGEINT) AS size, addr - addr % CAST(power(2, 128 - len6) AS HUGEINT) AS lo FROM a),
+    o AS (SELECT DISTINCT lo, size, len6, lo + size - 1 AS top FROM p WHERE elem_type IN ('R', 'A')),
+    m AS (SELECT * FROM (SELECT *, max(top) OVER (ORDER BY lo, len6 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o) WHERE before IS NULL OR before < lo)"""
+
+
+def _v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = elem_view(spark, sf_dir)
+    hi = F.expr(f"{V6_BASE} + (peer_asn - 64512) * 65536 + (event_id % 256) * 256").cast("long")
+    lo = F.shiftleft(F.expr("event_id % 4").cast("long"), 61)
+    return rows.withColumn("prefix", ip.make_prefix(F.lit(6), hi, lo, F.expr("44 + event_id % 26")))
+
+
+@query(
+    V6_SQL
+    + " SELECT CAST(CAST(sum(CASE WHEN len6 <= 64 THEN size // 4294967296 // 4294967296 ELSE 0 END) AS HUGEINT) AS VARCHAR) AS n_64, CAST(CAST(sum(CASE WHEN len6 > 64 THEN size ELSE 0 END) AS HUGEINT) AS VARCHAR) AS n_rest FROM m"
+)
+def ip6_unique_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefixes.unique_v6(_v6(spark, sf_dir).where("elem_type IN ('R', 'A')"))
+    return found.select(*[F.col(c).cast("string").alias(c) for c in ("n_64", "n_rest")])
+
+
+@query(
+    V6_SQL
+    + """, q AS (SELECT event_id, lo, lo + size - 1 AS top, size FROM p WHERE elem_type IN ('W', 'S')),
+    c AS (SELECT q.event_id, m.lo <= q.lo AS covered, CASE WHEN m.lo <= q.lo THEN q.size ELSE m.size END AS part FROM q JOIN m ON m.lo <= q.top AND q.lo <= m.top)
+    SELECT q.event_id, CAST(CAST(coalesce(sum(CASE WHEN part >= 18446744073709551616 THEN part // 4294967296 // 4294967296 ELSE 0 END), 0) AS HUGEINT) AS VARCHAR) AS n_64,
+      CAST(CAST(coalesce(sum(CASE WHEN part < 18446744073709551616 THEN part ELSE 0 END), 0) AS HUGEINT) AS VARCHAR) AS n_rest, coalesce(bool_or(covered), false) AS covered
+    FROM q LEFT JOIN c USING (event_id) GROUP BY q.event_id"""
+)
+def ip6_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _v6(spark, sf_dir)
+    found = prefixes.overlap_v6(rows.where("elem_type IN ('W', 'S')"), rows.where("elem_type IN ('R', 'A')"), ["event_id"])
+    return found.select("event_id", F.col("n_64").cast("string").alias("n_64"), F.col("n_rest").cast("string").alias("n_rest"), "covered")
+
+
+@query(
+    TABLE_SQL
+    + """ SELECT q.event_id, t.net, t.len, CASE WHEN t.len = q.len THEN 'exact' WHEN t.len < q.len THEN 'parent' ELSE 'child' END AS relation
+    FROM q JOIN t ON (t.net <= q.net AND t.top >= q.top) OR (q.net <= t.net AND q.top >= t.top)"""
+)
+def walk_up_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefixes.walk_up_down(_probes(spark, sf_dir), _table(spark, sf_dir), ["event_id"])
+    return found.select("event_id", F.col("prefix.lo").alias("net"), F.col("prefix.len").alias("len"), "relation")
+
+
+@query("SELECT event_id, as_path AS path FROM e")
+def path_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths through the store and back: each elem keeps an id, and a null path a null one."""
+    rows = elem_view(spark, sf_dir)
+    ids = intern.with_paths(rows, intern.path_ids(rows)).select("event_id", "peer_asn", "hash", "idx")
+    return intern.rebuilt(ids, intern.path_ids(rows)).select("event_id", aspath.path_text(F.col("path")).alias("path"))
+
+
+def _dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a dump file of one message: a RIB entry, an update with or without a route, or a state change."""
+    hexed = lambda n, width: f"lpad(hex(CAST({n} AS BIGINT)), {width}, '0')"
+    rows = elem_view(spark, sf_dir).withColumn("communities", F.col("communities_text"))
+    rows = rows.withColumn("nlri", F.expr(f"concat({hexed('len', 2)}, substr({hexed('net', 8)}, 1, 2 * CAST(ceil(len / 8) AS INT)))"))
+    hops = ", ".join(hexed(f"split(as_path, ' ')[{k}]", 8) for k in range(3))
+    marks = ", ".join(hexed(f"split(communities, ':')[{k}]", 4) for k in range(2))
+    rows = rows.withColumn("attrs", F.expr(f"concat('40010100', '40020E0203', {hops}, '400304', {hexed('net', 8)}, 'C00804', {marks})"))
+    head = f"concat({hexed('peer_asn', 8)}, {hexed('65000', 8)}, '00000001', {hexed('167772160 + peer_asn % 65536', 8)}, {hexed('167772161', 8)})"
+    start = "repeat('F', 32)"
+    body = f"""CASE elem_type
+        WHEN 'R' THEN concat({hexed('event_id % 65536', 8)}, nlri, '0001', {hexed('peer_asn % 65536', 4)}, {hexed('time_sec', 8)}, {hexed('length(attrs) / 2', 4)}, attrs)
+        WHEN 'A' THEN concat({head}, {start}, {hexed('23 + (length(attrs) + length(nlri)) / 2', 4)}, '020000', {hexed('length(attrs) / 2', 4)}, attrs, nlri)
+        WHEN 'W' THEN concat({head}, {start}, {hexed('23 + length(nlri) / 2', 4)}, '02', {hexed('length(nlri) / 2', 4)}, nlri, '0000')
+        ELSE concat({head}, '0006', {hexed('1 + event_id % 6', 4)}) END"""
+    kind = "CASE elem_type WHEN 'R' THEN '000D0002' WHEN 'S' THEN '00100005' ELSE '00100004' END"
+    content = F.unhex(F.expr(f"concat({hexed('time_sec', 8)}, {kind}, {hexed('length(body) / 2', 8)}, body)"))
+    return rows.withColumn("body", F.expr(body)).select(F.col("event_id").cast("string").alias("resource_id"), F.lit("mrt").alias("format"), content.alias("content"))
+
+
+@query(
+    f"""SELECT event_id, time_us // 1000000 AS time_sec, elem_type, CASE WHEN elem_type = 'R' THEN CAST(peer_asn % 65536 AS INT) END AS peer_index, CASE WHEN elem_type <> 'R' THEN peer_asn END AS peer_asn,
+      CASE WHEN elem_type <> 'S' THEN {NET} END AS prefix, CASE WHEN elem_type IN ('R', 'A') THEN string_split({NET}, '/')[1] END AS nexthop, as_path, communities,
+      CASE WHEN elem_type = 'S' THEN CAST(1 + event_id % 6 AS INT) END AS new_state FROM e"""
+)
+def dump_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dump messages written from the events, framed and decoded again."""
+    framed = _dump_files(spark, sf_dir).mapInPandas(dumps.frame, dumps.MESSAGE)
+    raw = dumps.dress(dumps.decode(framed)).join(framed.select("resource_id", "time_sec"), "resource_id")
+    return raw.select(
+        F.col("resource_id").cast("long").alias("event_id"), "time_sec", "elem_type", "peer_index", "peer_asn", F.col("prefix_text").alias("prefix"), "nexthop", "as_path", F.col("communities_text").alias("communities"),
+        F.when(F.col("elem_type") == "S", F.col("new_state")).alias("new_state"),
+    )

@@ -83,7 +83,7 @@ class FrameReader(DataSourceReader):
 
     def read(self, partition: Span) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            data = inflate(f.read())
+            data = inflate(f.read())[0]
         for seq, m in enumerate((wire.frame_bmp if self.form == "bmp" else wire.frame_mrt)(data)):
             yield partition.path, seq, m.sec, m.usec, m.kind, m.subtype, m.body, m.status
 

@@ -8,34 +8,58 @@ many tasks.  The peer table of a dump is joined on (resource, index).
 from __future__ import annotations
 
 import bz2
-import gzip
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aspath, community, ip, render
 from ..operators import filters as flt
 from ..operators.records import dump_position
+from ..operators.shared import checkpointed
 from ..types import ELEM, resource_id
 from . import wire
 
 MESSAGE = "resource_id string, seq bigint, time_sec bigint, time_usec int, kind int, subtype int, router string, router_ip string, body binary, status string"
 
 
-def inflate(data: bytes) -> bytes:
-    if data[:2] == b"\x1f\x8b":
-        return gzip.decompress(data)
-    return bz2.decompress(data) if data[:3] == b"BZh" else data
-
-
-def _frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def inflate(data: bytes) -> tuple[bytes, bool]:
+    """The plain bytes as far as they can be read, and whether that is all of them."""
+    if data[:2] != b"\x1f\x8b" and data[:3] != b"BZh":
+        return data, True
+    out, opened = [], None
+    try:
+        while data:
+            opened = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else bz2.BZ2Decompressor()
+            out.append(opened.decompress(data))
+            data = opened.unused_data
+    except (OSError, ValueError, zlib.error):
+        return b"".join(out), False
+    return b"".join(out), opened is None or opened.eof
+
+
+def _framed(form: str, data: bytes) -> Iterator[wire.Frame]:
+    """The messages of a file; where it breaks off or a header can't be read, a last one of status S."""
+    plain, whole = inflate(data)
+    last = None
+    try:
+        for last in wire.frame_bmp(plain) if form == "bmp" else wire.frame_mrt(plain):
+            yield last
+    except (wire.WireError, IndexError, ValueError, OSError, struct.error):
+        whole = False
+    if not whole and (last is None or last.status != "S"):
+        yield wire.Frame(0, 0, 0, 0, b"", status="S")
+
+
+def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in MESSAGE.split(", ")]
     for batch in batches:
         for rid, form, data in zip(batch["resource_id"], batch["format"], batch["content"], strict=True):
-            rows, cut = [], wire.frame_bmp if form == "bmp" else wire.frame_mrt
-            for seq, f in enumerate(cut(inflate(bytes(data)))):
+            rows = []
+            for seq, f in enumerate(_framed(form, bytes(data))):
                 rows.append((rid, seq, f.sec, f.usec, f.kind, f.subtype, f.router, f.router_ip, f.body, f.status if wire.supported(f.kind, f.subtype) or f.status != "V" else "U"))
                 if len(rows) >= 5000:
                     yield pd.DataFrame(rows, columns=names)
@@ -43,28 +67,39 @@ def _frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=names)
 
 
+def present(spark: SparkSession, url: str) -> bool:
+    """Whether the store of `url` has a file there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(url)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+
 def messages(resources: DataFrame) -> DataFrame:
-    """Every message of the resources' files, with its resource's columns."""
+    """Every message of the resources' files, with its resource's columns; a missing file has none."""
     spark = resources.sparkSession
     named = resources.withColumn("resource_id", resource_id())
-    urls = [r.url for r in named.select("url").distinct().collect()]  # a catalog selection: the files that this query opens
+    urls = [r.url for r in named.select("url").distinct().collect() if present(spark, r.url)]  # a catalog selection: the files that this query opens
     if not urls:
         return spark.createDataFrame([], MESSAGE).join(named.drop("attrs"), "resource_id")
     files = spark.read.format("binaryFile").load(urls).select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), "content")
     opened = files.join(named.select("resource_id", "format", F.regexp_replace("url", "^file:/+", "/").alias("_path")), "_path").select("resource_id", "format", "content")
-    return opened.mapInPandas(_frame, MESSAGE).join(named.drop("attrs"), "resource_id")
+    return opened.mapInPandas(frame, MESSAGE).join(named.drop("attrs"), "resource_id")
 
 
-def records(resources: DataFrame, filters: flt.Filters | None = None, early_stop: bool = False) -> DataFrame:
-    """Records that pass the record filters, with status and dump position; an unreadable or empty source gives one record."""
+def records(resources: DataFrame, filters: flt.Filters | None = None, early_stop: bool = False, check: bool = False, framed: DataFrame | None = None) -> DataFrame:
+    """Records that pass the record filters, with status and dump position; an unreadable or empty source gives one record.
+
+    With `early_stop` a dump, taken as sorted, ends at its first message beyond the interval, which gives one record of status O.
+    With `check` messages are decoded on trial, and those that do not decode have status R.
+    """
     f = filters or flt.Filters()
     chosen = resources.where(flt.all_of(flt.resource_conditions(f)))
-    all_messages = messages(chosen).where(~((F.col("kind") == wire.TABLE_DUMP_V2) & (F.col("subtype") == wire.PEER_TABLE)))
+    all_messages = (framed if framed is not None else messages(chosen)).where(~((F.col("kind") == wire.TABLE_DUMP_V2) & (F.col("subtype") == wire.PEER_TABLE)))
     if early_stop and f.end is not None:  # a sorted dump ends at the first message beyond the interval
-        beyond = F.max((F.col("time_sec") > f.end).cast("int")).over(Window.partitionBy("resource_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-        all_messages = all_messages.withColumn("_beyond", beyond).where("_beyond = 0").drop("_beyond")
+        beyond = all_messages.where(F.col("time_sec") > f.end).groupBy("resource_id").agg(F.min("seq").alias("_stop"))
+        reached = all_messages.join(beyond, "resource_id", "left").where(F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop")))
+        all_messages = reached.withColumn("status", F.when(F.col("seq") == F.col("_stop"), "O").otherwise(F.col("status"))).drop("_stop")
     kept = flt.all_of(flt.record_conditions(f))
-    marked = all_messages.withColumn("kept", F.coalesce(kept, F.lit(False)))
+    marked = all_messages.withColumn("kept", F.coalesce(kept, F.lit(False)) | F.col("status").isin("S", "O"))
     rec_type = F.when(F.col("record_type") == "ribs", "R").otherwise("U")
     good = dump_position(marked, "resource_id", "seq", "kept").withColumn("rec_type", rec_type).withColumn("dump_time", F.coalesce("initial_time", F.lit(0)))
     columns = ["resource_id", "seq", "rec_type", "status", "time_sec", "time_usec", "project", "collector", "router", "router_ip", "dump_pos", "dump_time", "kind", "subtype", "body"]
@@ -76,7 +111,22 @@ def records(resources: DataFrame, filters: flt.Filters | None = None, early_stop
         F.lit(0).alias("time_usec"), "project", "collector", F.lit(None).cast("string").alias("router"), F.lit(None).cast("string").alias("router_ip"), F.lit("E").alias("dump_pos"),
         F.coalesce("initial_time", F.lit(0)).alias("dump_time"), F.lit(0).alias("kind"), F.lit(0).alias("subtype"), F.lit(None).cast("binary").alias("body"),
     )
-    return good.select(*columns).unionByName(meta)
+    good = good.select(*columns)
+    return (good.mapInPandas(_tried, good.schema) if check else good).unionByName(meta)
+
+
+def _tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        batch["status"] = ["R" if s == "V" and not _decodes(k, t, bytes(b)) else s for s, k, t, b in zip(batch["status"], batch["kind"], batch["subtype"], batch["body"], strict=True)]
+        yield batch
+
+
+def _decodes(kind: int, subtype: int, body: bytes) -> bool:
+    try:
+        wire.decode(kind, subtype, body)
+    except wire.WireError:
+        return False
+    return True
 
 
 NAMES = ["resource_id", "seq", "elem_idx", "elem_type", "orig_sec", "orig_usec", "peer_index", "peer_ip", "peer_asn", "prefix", "nexthop", "as_path", "as4_path", "communities", "origin", "med", "local_pref", "atomic", "agg_asn", "agg_ip", "old_state", "new_state"]
@@ -103,18 +153,25 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def peers(resources: DataFrame) -> DataFrame:
-    """(resource_id, peer_index, ip, asn) of the dumps' peer tables."""
-    tables = messages(resources).where((F.col("kind") == wire.TABLE_DUMP_V2) & (F.col("subtype") == wire.PEER_TABLE)).select("resource_id", "body")
+def peers(framed: DataFrame) -> DataFrame:
+    """(resource_id, peer_index, ip, asn) of the peer tables among messages; a table that can't be read gives none."""
+    tables = framed.where((F.col("kind") == wire.TABLE_DUMP_V2) & (F.col("subtype") == wire.PEER_TABLE)).select("resource_id", "body")
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(rid, *row) for rid, body in zip(batch["resource_id"], batch["body"], strict=True) for row in wire.peer_table(bytes(body))]
+            rows = [(rid, *row) for rid, body in zip(batch["resource_id"], batch["body"], strict=True) for row in _peer_rows(bytes(body))]
             yield pd.DataFrame(rows, columns=["resource_id", "peer_index", "ip", "asn"])
 
     return tables.mapInPandas(explode, "resource_id string, peer_index int, ip string, asn bigint")
 
 
+def _peer_rows(body: bytes) -> list[tuple[int, str, int]]:
+    try:
+        return wire.peer_table(body)
+    except (wire.WireError, IndexError, ValueError, OSError, struct.error):
+        return []
+
+
 def decode(found: DataFrame, partitions: int | None = None) -> DataFrame:
     """Raw elems of records; messages that do not decode have elem_type `corrupt`."""
     valid = found.where("status = 'V' and body is not null").select("resource_id", "seq", "kind", "subtype", "body")
@@ -129,9 +186,11 @@ def elems(resources: DataFrame, filters: flt.Filters | None = None) -> DataFrame
     Routes whose peer index is in no table are left out.
     """
     f = filters or flt.Filters()
-    found = records(resources, f).withColumn("_status", F.col("status"))
+    chosen = resources.where(flt.all_of(flt.resource_conditions(f)))
+    framed = checkpointed(messages(chosen))  # each file is opened and cut once
+    found = records(chosen, f, framed=framed).withColumn("_status", F.col("status"))
     raw = decode(found).where("elem_type <> 'corrupt'")
-    index = peers(resources.where(flt.all_of(flt.resource_conditions(f))))
+    index = peers(framed)
     joined = raw.join(index, ["resource_id", "peer_index"], "left").where("peer_index is null or ip is not null")
     joined = joined.withColumn("peer_ip", F.coalesce("peer_ip", "ip")).withColumn("peer_asn", F.coalesce("peer_asn", "asn")).drop("ip", "asn")
     whole = joined.join(found.drop("kind", "subtype", "body", "_status"), ["resource_id", "seq"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from routeloom.functions import ip
 from routeloom.operators import filters as flt
-from routeloom.operators import prefixes
+from routeloom.operators import prefixes, records
 from routeloom.plans import queries as engine
 from routeloom.sources import catalog, dumps, rislive, wire
 
@@ -156,7 +156,7 @@ def test_catalogs(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the tables")
-@pytest.mark.parametrize("name", ["prefix_set_semijoin", "lpm", "overlap_mask", "ip_space_union", "rpki_validate", "render_elem", "peer_ids", "rib_period", "session_by_peer", "catalog_upsert"])
+@pytest.mark.parametrize("name", ["prefix_set_semijoin", "lpm", "overlap_mask", "ip_space_union", "rpki_validate", "render_elem", "peer_ids", "rib_period", "session_by_peer", "catalog_upsert", "less_specifics", "min_cover", "ip_overlap", "record_merge_order", "path_intern", "path_rebuild", "ip6_unique_count", "ip6_overlap", "walk_up_down", "dump_decode"])
 def test_queries_agree_with_sql(spark, name):
     db = duckdb.connect()
     for table in ("events", "supplier", "customer", "orders", "nation", "region"):
@@ -166,3 +166,44 @@ def test_queries_agree_with_sql(spark, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(found.columns)
     assert sorted(map(str, (tuple(r[n] for n in names) for r in found.collect()))) == sorted(map(str, result.fetchall()))
+
+
+def test_broken_sources(spark, tmp_path):
+    """What can't be read gives a record, not an end of the job."""
+    whole = gzip.compress(dump_bytes())
+    (tmp_path / "cut.gz").write_bytes(whole[:-20])
+    found = dumps.records(resource(spark, str(tmp_path / "cut.gz"))).orderBy("seq").collect()
+    assert found[-1].status == "S" and all(r.status == "V" for r in found[:-1])
+    assert [r.status for r in dumps.records(resource(spark, str(tmp_path / "missing"))).collect()] == ["E"]
+    bad = mrt(100, 13, 1, b"\0\0") + mrt(100, 16, 4, b"\0\1\2") + dump_bytes()
+    (tmp_path / "bad").write_bytes(bad)
+    assert [r.status for r in dumps.records(resource(spark, str(tmp_path / "bad")), check=True).orderBy("seq").collect()] == ["R", "V", "V", "V"]
+    assert dumps.elems(resource(spark, str(tmp_path / "bad"))).count() == 6
+    (tmp_path / "bmp").write_bytes(b"OBMP" + bytes([1, 7, 0, 20, 0, 0, 0, 9, 0x80, 12]) + b"\0\0\0")
+    assert [r.status for r in dumps.records(resource(spark, str(tmp_path / "bmp")).withColumn("format", F.lit("bmp"))).collect()] == ["S"]
+
+
+def test_end_of_interval(spark, tmp_path):
+    (tmp_path / "u").write_bytes(dump_bytes() + mrt(150, 16, 5, b""))
+    f = flt.Filters().between(100, 200)
+    stopped = dumps.records(resource(spark, str(tmp_path / "u")), f, early_stop=True).orderBy("seq").collect()
+    assert [(r.seq, r.status) for r in stopped] == [(0, "V"), (1, "V"), (2, "O")]
+    assert [r.seq for r in dumps.records(resource(spark, str(tmp_path / "u")), f).orderBy("seq").collect()] == [0, 1, 3]
+
+
+def test_v6_space(spark):
+    texts = ["2001:db8::/32", "2001:db8:1::/48", "2001:db9::/64", "2001:db9::8000/120", "2001:dba::/120", "2001:dba::/127", "10.0.0.0/8"]
+    table = spark.createDataFrame([(t,) for t in texts], "t string").select(ip.parse_prefix(F.col("t")).alias("prefix"))
+    assert tuple(map(int, prefixes.unique_v6(table).first())) == (2**32 + 1, 256)
+    rows = spark.createDataFrame([(1, "2001:db8:2::/48"), (2, "2001:db8::/28"), (3, "2001:dba::/64"), (4, "3000::/4"), (5, "::/0"), (6, None)], "i long, t string").select("i", ip.parse_prefix(F.col("t")).alias("prefix"))
+    found = {r.i: (int(r.n_64), int(r.n_rest), r.covered) for r in prefixes.overlap_v6(rows, table, ["i"]).collect()}
+    assert found == {1: (2**16, 0, True), 2: (2**32 + 1, 256, False), 3: (0, 256, False), 4: (0, 0, False), 5: (2**32 + 1, 256, False)}
+
+
+def test_ranks_across_ranges(spark):
+    rows = [(g, t, "R" if t % 3 else "U", "r", k) for k, (g, t) in enumerate([("a", t // 3) for t in range(300)] + [(None, 5), (None, 4), ("b", 1)])]
+    frame = spark.createDataFrame(rows, "collector string, time_sec long, rec_type string, resource_id string, seq long").repartition(5)
+    found = {r.seq: r.place for r in records.rank_in_order(frame, ["collector"]).collect()}
+    for group in ("a", None, "b"):
+        own = sorted((r for r in rows if r[0] == group), key=lambda r: (r[1], r[2] != "R", r[3], r[4]))
+        assert [found[r[4]] for r in own] == list(range(1, len(own) + 1))
