@@ -408,7 +408,14 @@ def test_personal_data(docs, corpus, empty):
     assert pii.find_pii(empty, None).count() == 0 and pii.fit(empty) is None
     texts = [f"call +1 (415) 555-{k:04d} or id {k * 7919 % 10**7} 10.0.{k % 256}.1 v {k}.{k}.{k}" for k in range(120)]
     model = pii.train(texts)
-    assert model and set(pii.added_spans(texts[0], model, [])) >= set() and len(model[1]) == 3
+    assert model and len(model[1]) == 3
+    numbers, k = [], 10**15
+    while len(numbers) < 400:  # as many card numbers as look-alikes that only the checksum tells apart: neither is sure
+        k += rng.randint(1, 10**10)
+        if pii.luhn(str(k)) == (len(numbers) % 2 == 0):
+            numbers.append(f"{sentence(rng, 4)} {k} {sentence(rng, 4)}")
+    model = pii.train(numbers)
+    assert model and all(pii.added_spans(t, model, pii.base_spans(t)) == [] for t in numbers)
 
 
 def test_personal_data_beyond_strict_rules():
