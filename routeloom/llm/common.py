@@ -33,6 +33,18 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], weight: str, share: int = 1000) -> DataFrame:
+    """Inner join of `rows` with `side`, which has one row for each of its keys and in `weight` how many of `rows` have that key.
+
+    Keys of more than a `share`-th of these rows, of which there can be no more than `share`, are broadcast, so no task
+    gathers one of them; all others meet by a shuffle.  `side` is read three times and its rows are to be small.
+    """
+    least = (side.agg(F.sum(weight)).first()[0] or 0) / share
+    hot = F.broadcast(side.where(F.col(weight) > least))
+    rest = rows.join(hot.select(*keys), list(keys), "left_anti").join(side.where(F.col(weight) <= least), list(keys))
+    return rows.join(hot, list(keys)).unionByName(rest)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -14,6 +14,8 @@ its windows that are left single in their shard are then merged across shards by
 
 Defined results: a null text is empty; equal texts of `length` bytes or more go altogether; shorter texts stay whole; a null
 id is kept; an empty table gives no rows.  Only the named columns are read.
+
+Hot keys: an anchor, stretch or text with more than a thousandth of the rows is met by broadcast, not in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_of
+from .common import hot_join, stash, text_of
 from .shingles import _BYTE, U, flat_bytes, mix, powers, row_slices
 from .suffixes import LIMIT, common_prefixes, suffix_array
 
@@ -201,8 +203,8 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
 
     # Anchors that occur twice among distinct texts, and the texts that have them.
     placed = texts.select("id", F.explode(F.arrays_zip("anchors", "firsts", "lasts")).alias("x")).select("id", F.col("x.anchors").alias("anchor"), F.col("x.firsts").alias("first"), F.col("x.lasts").alias("last"))
-    twice = placed.groupBy("anchor").count().where("count > 1").select("anchor")
-    found = placed.join(twice, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("found"))
+    twice = stash(placed.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1"), "twice")
+    found = hot_join(placed, twice, ["anchor"], "places").groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("found"))
     wanted = texts.select("id", "content").join(found, "id")
     bodies = hashed.select("content", "text").dropDuplicates(["content"]).join(wanted, "content")
     bodies = stash(bodies.select("id", "text", "found"), "bodies")
@@ -212,8 +214,8 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     variants = occurrences.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("id", "first", "last")).alias("where"))
     size = F.col("where.last") - F.col("where.first") + length
     variants = stash(variants.select(F.monotonically_increasing_id().alias("vid"), "anchor", "body", "n", "where", size.alias("size")), "variants")
-    load = variants.groupBy("anchor").agg(F.sum("size").alias("load"), F.count("*").alias("kinds")).where("kinds > 1")
-    several = variants.join(load, "anchor")
+    load = stash(variants.groupBy("anchor").agg(F.sum("size").alias("load"), F.count("*").alias("kinds")).where("kinds > 1"), "loads")
+    several = hot_join(variants, load, ["anchor"], "kinds")
     total = several.where(F.col("load") <= shard_bytes).agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-2 * total // shard_bytes))
     spread = F.when(F.col("load") > shard_bytes, F.ceil(2 * F.col("load") / shard_bytes)).otherwise(0).cast("long")
@@ -227,12 +229,15 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     ranges = marked.where("bucket is null").select("vid", "lo", "hi").union(merged).union(whole)
 
     # Back to the texts.
-    ranges = ranges.groupBy("vid").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).join(variants.select("vid", "anchor", "body"), "vid").select("anchor", "body", "r")
+    ranges = ranges.groupBy("vid").agg(F.collect_list(F.struct("lo", "hi")).alias("r")).join(variants.select("vid", "anchor", "body", "n"), "vid").select("anchor", "body", "n", "r")
+    ranges = stash(ranges, "ranges")  # a stretch has at most length - gram + 1 windows, which bounds a row
     shifted = F.transform("r", lambda x: F.struct((x["lo"] + F.col("first")).alias("lo"), (x["hi"] + F.col("first")).alias("hi")))
-    covered = occurrences.join(ranges, ["anchor", "body"]).select("id", shifted.alias("r")).groupBy("id").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    covered = hot_join(occurrences, ranges, ["anchor", "body"], "n").select("id", shifted.alias("r")).groupBy("id").agg(F.flatten(F.collect_list("r")).alias("ranges"))
     stripped = bodies.select("id", "text").join(covered, "id").mapInArrow(lambda it: _strip(it, length), "id long, n_removed long, n_spans long, kept_sha256 string")
-    known = texts.select("id", "content", "copies").join(stripped, "id", "left").drop("id")
-    rows = hashed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content").join(known, "content", "left")
+    known = stash(texts.select("id", "content", "copies").join(stripped, "id", "left").drop("id"), "known")
+    rows = hashed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
+    short = rows.where(F.col("n_bytes") < length)  # has no window, so the many null and empty texts meet nowhere
+    rows = hot_join(rows.where(F.col("n_bytes") >= length), known, ["content"], "copies").unionByName(short, allowMissingColumns=True)
     gone = F.col("copies") > 1
     removed = F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
     return rows.select(
