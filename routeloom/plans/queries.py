@@ -547,8 +547,8 @@ def path_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intern.rebuilt(ids, intern.path_ids(rows)).select("event_id", aspath.path_text(F.col("path")).alias("path"))
 
 
-def _dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event as a dump file of one message: a RIB entry, an update with or without a route, or a state change."""
+def message_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view with `kind` and `body` in hex: each event as a RIB entry, an update with or without a route, or a state change."""
     hexed = lambda n, width: f"lpad(hex(CAST({n} AS BIGINT)), {width}, '0')"
     rows = elem_view(spark, sf_dir).withColumn("communities", F.col("communities_text"))
     rows = rows.withColumn("nlri", F.expr(f"concat({hexed('len', 2)}, substr({hexed('net', 8)}, 1, 2 * CAST(ceil(len / 8) AS INT)))"))
@@ -563,8 +563,13 @@ def _dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 'W' THEN concat({head}, {start}, {hexed('23 + length(nlri) / 2', 4)}, '02', {hexed('length(nlri) / 2', 4)}, nlri, '0000')
         ELSE concat({head}, '0006', {hexed('1 + event_id % 6', 4)}) END"""
     kind = "CASE elem_type WHEN 'R' THEN '000D0002' WHEN 'S' THEN '00100005' ELSE '00100004' END"
-    content = F.unhex(F.expr(f"concat({hexed('time_sec', 8)}, {kind}, {hexed('length(body) / 2', 8)}, body)"))
-    return rows.withColumn("body", F.expr(body)).select(F.col("event_id").cast("string").alias("resource_id"), F.lit("mrt").alias("format"), content.alias("content"))
+    return rows.withColumn("kind", F.expr(kind)).withColumn("body", F.expr(body))
+
+
+def _dump_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a dump file of one message."""
+    content = F.unhex(F.expr("concat(lpad(hex(time_sec), 8, '0'), kind, lpad(hex(CAST(length(body) / 2 AS BIGINT)), 8, '0'), body)"))
+    return message_bodies(spark, sf_dir).select(F.col("event_id").cast("string").alias("resource_id"), F.lit("mrt").alias("format"), content.alias("content"))
 
 
 @query(

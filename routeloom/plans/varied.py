@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import aspath, community, ip, times
 from ..operators import filters as flt
 from ..operators import prefixes
+from ..sources import catalog, dumps, rislive
 from ..types import AS_PATH
 from .elems import elem_view
-from .queries import NET, ORACLES, QUERIES, TABLE_SQL, V6_BASE, Query, query
+from .queries import NET, ORACLES, QUERIES, TABLE_SQL, V6_BASE, Query, message_bodies, query
 
 VIEW = """
 SELECT event_id, user_id, time_us, elem_type, concat('r', CAST(event_id % 4 AS STRING)) AS router, a, b, c,
@@ -167,3 +168,33 @@ def filter_resource_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resources without an end are streams, the others batches."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 2 = 0 THEN 'ris' ELSE 'routeviews' END AS project", "CASE WHEN o_orderkey % 3 <> 0 THEN CAST(300 AS BIGINT) END AS duration")
     return rows.where(flt.all_of(flt.resource_conditions(flt.parse("project ris and resourcetype stream")))).select("o_orderkey", "duration")
+
+
+@query(
+    """SELECT concat('f', o_orderkey) AS url, o_orderkey * 300 AS initial_time, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(300 AS BIGINT) END AS duration, concat('rrc', o_orderkey % 10) AS collector,
+      CASE WHEN o_orderkey % 3 = 0 THEN 'kafka' ELSE 'file' END AS transport FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey % 5 <> 0""",
+    view=False,
+)
+def broker_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A broker response for each customer: some with an error, some of another version; streams have no duration."""
+    resource = """named_struct('url', concat('f', o_orderkey), 'project', 'ris', 'collector', concat('rrc', o_orderkey % 10), 'type', 'updates', 'initialTime', o_orderkey * 300,
+      'duration', CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 300 END, 'transport', CASE WHEN o_orderkey % 3 = 0 THEN 'kafka' END)"""
+    listed = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.collect_list(F.expr(resource)).alias("resources"))
+    error, version = F.expr("CASE WHEN o_custkey % 7 = 0 THEN 'busy' END"), F.expr("CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 2 END")
+    responses = listed.select(F.to_json(F.struct(version.alias("version"), error.alias("error"), F.struct("resources").alias("data"))).alias("value"))
+    return catalog.parse_broker(responses).select("url", "initial_time", "duration", "collector", "transport")
+
+
+@query(
+    f"""SELECT time_us // 1000000 AS time_sec, CAST(time_us % 1000000 AS INT) AS time_usec, elem_type, peer_asn, collector, {NET} AS prefix, string_split({NET}, '/')[1] AS nexthop, as_path, communities FROM e WHERE elem_type = 'A'
+    UNION ALL SELECT time_us // 1000000, CAST(time_us % 1000000 AS INT), elem_type, peer_asn, collector, {NET}, NULL, NULL, NULL FROM e WHERE elem_type = 'W'"""
+)
+def live_update_elems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed lines with the updates of the view in hex, read back to elems."""
+    rows = message_bodies(spark, sf_dir).where("elem_type in ('A', 'W')")
+    stamp = times.time_text(F.col("time_sec"), F.col("time_usec"))
+    raw = F.expr("substr(body, 41)")  # after the head that only dumps have
+    data = F.struct(stamp.alias("timestamp"), F.lit("192.0.2.1").alias("peer"), F.col("peer_asn").cast("string").alias("peer_asn"), raw.alias("raw"), F.col("collector").alias("host"), F.lit("UPDATE").alias("type"))
+    lines = rows.select(F.to_json(F.struct(F.lit("ris_message").alias("type"), data.alias("data"))).alias("value"))
+    found = dumps.dress(rislive.records_to_elems(rislive.lines_to_records(lines)))
+    return found.select("time_sec", "time_usec", "elem_type", "peer_asn", "collector", F.col("prefix_text").alias("prefix"), "nexthop", "as_path", F.col("communities_text").alias("communities"))
