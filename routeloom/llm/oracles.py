@@ -51,6 +51,14 @@ FROM g JOIN b ON g.shingle = b.shingle WHERE g.kind = 'd'
 GROUP BY g.id, b.item_id HAVING count(*) >= 0.8 * any_value(b.item_shingles)
 """
 
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to, 'ok' AS status
+FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100
+"""
 
 
 def _spans(k: int, rule: Rule) -> str:
@@ -81,4 +89,5 @@ ORACLES = {
     "op2_secrets": SECRETS,
     "op4_mix_sources": MIX,
     "op10_decontaminate": DECONTAMINATE,
+    "op12_warc_round_trip": WARC,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, language, licenses, mixing, near_dups, periodic, pii, repeats, secrets, token_counts
+from . import avi, decontaminate, language, licenses, mixing, near_dups, periodic, pii, repeats, secrets, spelling, token_counts, warc
 from .common import span_counts, span_labels, table
 
 
@@ -69,6 +69,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.summary(periodic.find_runs(periodic.with_repeated_tails(docs)))
 
 
+def op12_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_secrets": op2_secrets,
@@ -81,4 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_warc_round_trip": op12_warc_round_trip,
+    "op13_spelling_variants": op13_spelling_variants,
 }
