@@ -88,6 +88,12 @@ def backward(x: np.ndarray, root: int, p: int) -> np.ndarray:
     return _mod(x.reshape(n, width) * U(pow(n, -1, p)), p)
 
 
+def _residues(ids: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers modulo p and the running sums of their squares."""
+    ids = _mod(ids, p)
+    return ids, np.concatenate([np.zeros(1, U), np.cumsum(_mod(ids * ids, p), dtype=U)])
+
+
 def _matches(ids: np.ndarray, squares: np.ndarray, starts: np.ndarray, length: int, near: int, far: int, prime: tuple[int, int]) -> np.ndarray:
     """For each block (column) and distance from `near` to `far` (row) whether the sum of squared differences is zero modulo the prime."""
     p, root = prime
@@ -99,28 +105,28 @@ def _matches(ids: np.ndarray, squares: np.ndarray, starts: np.ndarray, length: i
     window[:reach] = ids[starts[None, :] + (near + np.arange(reach))[:, None]]
     product = backward(_mod(forward(block, root, p) * forward(window, root, p), p), root, p)[length - 1 : reach]
     at = starts[None, :] + (near + np.arange(far - near + 1))[:, None]
-    both = _mod(squares[at + length] - squares[at] + (squares[starts + length] - squares[starts])[None, :], p)
+    both = _mod(squares[at + length] - squares[at] + (squares[starts + length] - squares[starts])[None, :], p)  # of sums below n * p
     return both == _mod(product * U(2), p)
 
 
 def occurrences(ids: np.ndarray, starts: np.ndarray, length: int, near: int, far: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, distance) of every block's exact recurrences from `near` to `far` words on; `ids` are below `bound` and reach that far."""
-    squares = np.concatenate([np.zeros(1, U), np.cumsum(ids * ids, dtype=U)])
     size = 1 << (far - near + length - 1).bit_length()
     usable = [x for x in PRIMES if (x[0] - 1) % size == 0]
     needed, room = 0, 1
     while room <= bound * bound * length:
         room *= usable[needed][0]
         needed += 1
+    primes = [(*_residues(ids, x[0]), x) for x in usable[:needed]]
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     width = max(1, CELLS // size)
     for k in range(0, len(starts), width):
         some = starts[k : k + width]
-        zero = _matches(ids, squares, some, length, near, far, usable[0])
-        for prime in usable[1:needed]:
+        zero = np.ones((far - near + 1, len(some)), bool)
+        for numbers, squares, prime in primes:
             some, zero = some[zero.any(0)], zero[:, zero.any(0)]
             if len(some):
-                zero &= _matches(ids, squares, some, length, near, far, prime)
+                zero &= _matches(numbers, squares, some, length, near, far, prime)
         d, b = np.nonzero(zero)
         found.append((some[b], d + near))
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])

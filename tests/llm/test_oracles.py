@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_agree_with_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "pages"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     found, result = QUERIES[name](spark, SMALL), db.execute(ORACLES[name])
     names = [d[0] for d in result.description]
