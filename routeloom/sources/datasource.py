@@ -7,13 +7,12 @@ what a feed writer leaves.  Each batch reads the whole lines between two offsets
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from . import wire
-from .dumps import inflate
+from . import files
 
 PIECE = 8 << 20
 
@@ -72,20 +71,47 @@ class LineStream(DataSourceStreamReader):
         pass
 
 
+#: What a pushed comparison of `time_sec` with a number means for the interval [begin, end].
+BOUNDS = {GreaterThan: (1, None), GreaterThanOrEqual: (0, None), LessThan: (None, -1), LessThanOrEqual: (None, 0), EqualTo: (0, 0)}
+
+
 class FrameReader(DataSourceReader):
-    """Messages of local dump files, one partition a file."""
+    """Messages of dump files, a partition a file.
+
+    Comparisons of `time_sec` are pushed down: messages outside the interval never leave the reader, and with the option `sorted` a file is left at
+    its first message beyond.  Files go through in pieces, so memory is bounded.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.paths, self.form = options["path"].split(","), options.get("format", "mrt")
+        self.paths, self.form, self.sorted = options["path"].split(","), options.get("format", "mrt"), options.get("sorted", "false").lower() == "true"
+        self.begin: int | None = None
+        self.end: int | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            low, high = BOUNDS.get(type(f), (None, None)) if getattr(f, "attribute", None) == ("time_sec",) else (None, None)
+            if low is not None:
+                self.begin = max(f.value + low, f.value + low if self.begin is None else self.begin)
+            if high is not None:
+                self.end = min(f.value + high, f.value + high if self.end is None else self.end)
+            if low is None and high is None:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         return [Span(p, 0, 0) for p in self.paths]
 
     def read(self, partition: Span) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = inflate(f.read())[0]
-        for seq, m in enumerate((wire.frame_bmp if self.form == "bmp" else wire.frame_mrt)(data)):
-            yield partition.path, seq, m.sec, m.usec, m.kind, m.subtype, m.body, m.status
+        system, path = files.store(partition.path)
+        size = system.get_file_info(path).size
+        with system.open_input_file(path) as f:
+            head = f.read(3)
+            pack = "gzip" if head[:2] == b"\x1f\x8b" else "bzip2" if head == b"BZh" else "plain"
+            for seq, m in enumerate(files.Messages(files.pieces(f, pack, size, 0, size), self.form)):
+                if self.end is not None and m.sec > self.end and m.status != "S":
+                    if self.sorted:
+                        return
+                elif self.begin is None or m.sec >= self.begin:
+                    yield partition.path, seq, m.sec, m.usec, m.kind, m.subtype, m.body, m.status
 
 
 class Routes(DataSource):

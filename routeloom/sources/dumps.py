@@ -1,15 +1,13 @@
 """Dump files to records and elems.
 
-Files come through Spark's binary reader, so any store that Spark reads will do, and compressed ones (gzip, bzip2) are opened.
+Files are read in bounded memory, large ones by several tasks (`files`); messages beyond the filters are counted, not kept.
 Framing yields one row a message; the messages are then dealt out anew, so one large file is decoded by
 many tasks.  The peer table of a dump is joined on (resource, index).
 """
 
 from __future__ import annotations
 
-import bz2
 import struct
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,68 +19,42 @@ from ..operators import filters as flt
 from ..operators.records import dump_position
 from ..operators.shared import checkpointed
 from ..types import ELEM, resource_id
-from . import wire
-
-MESSAGE = "resource_id string, seq bigint, time_sec bigint, time_usec int, kind int, subtype int, router string, router_ip string, body binary, status string"
-
-
-def inflate(data: bytes) -> tuple[bytes, bool]:
-    """The plain bytes as far as they can be read, and whether that is all of them."""
-    if data[:2] != b"\x1f\x8b" and data[:3] != b"BZh":
-        return data, True
-    out, opened = [], None
-    try:
-        while data:
-            opened = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else bz2.BZ2Decompressor()
-            out.append(opened.decompress(data))
-            data = opened.unused_data
-    except (OSError, ValueError, zlib.error):
-        return b"".join(out), False
-    return b"".join(out), opened is None or opened.eof
-
-
-def _framed(form: str, data: bytes) -> Iterator[wire.Frame]:
-    """The messages of a file; where it breaks off or a header can't be read, a last one of status S."""
-    plain, whole = inflate(data)
-    last = None
-    try:
-        for last in wire.frame_bmp(plain) if form == "bmp" else wire.frame_mrt(plain):
-            yield last
-    except (wire.WireError, IndexError, ValueError, OSError, struct.error):
-        whole = False
-    if not whole and (last is None or last.status != "S"):
-        yield wire.Frame(0, 0, 0, 0, b"", status="S")
+from . import files, wire
+from .files import MESSAGE
 
 
 def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """MESSAGE rows of whole plain files (resource_id, format, content)."""
     names = [c.split()[0] for c in MESSAGE.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
         for rid, form, data in zip(batch["resource_id"], batch["format"], batch["content"], strict=True):
-            for seq, f in enumerate(_framed(form, bytes(data))):
-                rows.append((rid, seq, f.sec, f.usec, f.kind, f.subtype, f.router, f.router_ip, f.body, f.status if wire.supported(f.kind, f.subtype) or f.status != "V" else "U"))
+            for row in files.selected(iter(files.Messages(iter([(bytes(data), True)]), form)), 0):
+                rows.append((rid, *row))
                 if len(rows) >= 5000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
         yield pd.DataFrame(rows, columns=names)
 
 
-def present(spark: SparkSession, url: str) -> bool:
-    """Whether the store of `url` has a file there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(url)
-    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+def _addressed(spark: SparkSession, resources: DataFrame) -> DataFrame:
+    """`resources` with addresses that have no scheme put into the session's default store."""
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS") if hasattr(spark, "_jsc") else None
+    if not default or default.startswith("file:"):
+        return resources
+    return resources.withColumn("url", F.when(F.col("url").contains("://"), F.col("url")).otherwise(F.concat(F.lit(default.rstrip("/")), F.col("url"))))
+
 
+def messages(resources: DataFrame, filters: flt.Filters | None = None, early_stop: bool = False, ranges: dict[str, int] | None = None) -> DataFrame:
+    """The messages of the resources' files that can pass the record filters, and the first and last of each range without a body, with their resource's columns.
 
-def messages(resources: DataFrame) -> DataFrame:
-    """Every message of the resources' files, with its resource's columns; a missing file has none."""
-    spark = resources.sparkSession
+    `skipped` counts the messages that were left out before a row.  A missing file has none; one that can't be read has one of status S.
+    """
+    f = filters or flt.Filters()
     named = resources.withColumn("resource_id", resource_id())
-    urls = [r.url for r in named.select("url").distinct().collect() if present(spark, r.url)]  # a catalog selection: the files that this query opens
-    if not urls:
-        return spark.createDataFrame([], MESSAGE).join(named.drop("attrs"), "resource_id")
-    files = spark.read.format("binaryFile").load(urls).select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), "content")
-    opened = files.join(named.select("resource_id", "format", F.regexp_replace("url", "^file:/+", "/").alias("_path")), "_path").select("resource_id", "format", "content")
-    return opened.mapInPandas(frame, MESSAGE).join(named.drop("attrs"), "resource_id")
+    opened = _addressed(resources.sparkSession, named.select("resource_id", "format", "url"))
+    found = files.read_messages(opened, f.begin, f.end, f.router, early_stop, ranges)
+    return found.join(named.drop("attrs"), "resource_id")
 
 
 def records(resources: DataFrame, filters: flt.Filters | None = None, early_stop: bool = False, check: bool = False, framed: DataFrame | None = None) -> DataFrame:
@@ -93,7 +65,7 @@ def records(resources: DataFrame, filters: flt.Filters | None = None, early_stop
     """
     f = filters or flt.Filters()
     chosen = resources.where(flt.all_of(flt.resource_conditions(f)))
-    all_messages = (framed if framed is not None else messages(chosen)).where(~((F.col("kind") == wire.TABLE_DUMP_V2) & (F.col("subtype") == wire.PEER_TABLE)))
+    all_messages = (framed if framed is not None else messages(chosen, f, early_stop)).where(~((F.col("kind") == wire.TABLE_DUMP_V2) & (F.col("subtype") == wire.PEER_TABLE)))
     if early_stop and f.end is not None:  # a sorted dump ends at the first message beyond the interval
         beyond = all_messages.where(F.col("time_sec") > f.end).groupBy("resource_id").agg(F.min("seq").alias("_stop"))
         reached = all_messages.join(beyond, "resource_id", "left").where(F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop")))
@@ -187,7 +159,7 @@ def elems(resources: DataFrame, filters: flt.Filters | None = None) -> DataFrame
     """
     f = filters or flt.Filters()
     chosen = resources.where(flt.all_of(flt.resource_conditions(f)))
-    framed = checkpointed(messages(chosen))  # each file is opened and cut once
+    framed = checkpointed(messages(chosen, f))  # what the record filters leave out is not written
     found = records(chosen, f, framed=framed).withColumn("_status", F.col("status"))
     raw = decode(found).where("elem_type <> 'corrupt'")
     index = peers(framed)
