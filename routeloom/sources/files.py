@@ -33,7 +33,8 @@ MARGIN = 3 << 20
 #: The marks of a bzip2 block and of a stream's end; record kinds of the dump format.
 BLOCK_MARK, END_MARK = 0x314159265359, 0x177245385090
 KINDS = (11, 12, 13, 16, 17, 32, 33, 48, 49)
-CHAIN = 16
+#: How many headers in a row, within how many seconds, make a guess.
+CHAIN, NEAR = 16, 86400
 
 SPLIT = "resource_id string, format string, url string, pack string, size bigint, part int, parts int, lo bigint, hi bigint, skip bigint, first bigint, fault string"
 MESSAGE = "resource_id string, seq bigint, time_sec bigint, time_usec int, kind int, subtype int, router string, router_ip string, body binary, status string, skipped bigint"
@@ -181,22 +182,26 @@ class Messages:
 
 
 def likely_start(data: bytes) -> int | None:
-    """The first place from which a chain of plausible headers leads on; None if there is none."""
+    """The first place from which `CHAIN` plausible headers follow one another, else that of the longest chain that leaves the data; None if there is none."""
     raw = np.frombuffer(data, np.uint8)
     if len(raw) < 12:
         return None
     kind = (raw[4:-7].astype(np.int64) << 8) | raw[5:-6]
     subtype = (raw[6:-5].astype(np.int64) << 8) | raw[7:-4]
+    best = (0, 0)
     for at in np.flatnonzero(np.isin(kind, KINDS) & (subtype < 16)).tolist():
         place, steps = at, 0
+        begun = int.from_bytes(data[at : at + 4], "big")
         while steps < CHAIN and place + 12 <= len(data):
-            _, k, s, size = struct.unpack_from(">IHHI", data, place)
-            if k not in KINDS or s >= 16 or size > PIECE:
+            sec, k, s, size = struct.unpack_from(">IHHI", data, place)
+            if k not in KINDS or s >= 16 or size > PIECE or abs(sec - begun) > NEAR:
                 break
             place, steps = place + 12 + size, steps + 1
-        if steps and (steps == CHAIN or place + 12 > len(data)):
+        if steps == CHAIN:
             return at
-    return None
+        if place + 12 > len(data):
+            best = max(best, (steps, -at))
+    return -best[1] if best[0] else None
 
 
 def _head(plain: Iterator[tuple[bytes, bool]]) -> tuple[bytes, Iterator[tuple[bytes, bool]]]:
