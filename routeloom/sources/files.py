@@ -29,6 +29,7 @@ from . import wire
 PIECE = 1 << 20
 #: Bytes of a range, as stored; a bzip2 byte costs far more to inflate than a plain one to read.
 RANGES = {"plain": 64 << 20, "bzip2": 8 << 20}
+TASK = 16 << 20
 MARGIN = 3 << 20
 #: The marks of a bzip2 block and of a stream's end; record kinds of the dump format.
 BLOCK_MARK, END_MARK = 0x314159265359, 0x177245385090
@@ -275,10 +276,9 @@ def splits(resources: DataFrame, ranges: dict[str, int] | None = None) -> DataFr
     sizes = {**RANGES, **(ranges or {})}
     planned = checkpointed(resources.select("resource_id", "format", "url").mapInPandas(lambda it: _planned(it, sizes), SPLIT))
     cut = planned.where("parts > 1")
-    n = cut.count()
-    if not n:
+    if cut.isEmpty():
         return planned
-    probed = checkpointed(dealt(cut, n).mapInPandas(_probed, "resource_id string, part int, skip bigint, n bigint, over bigint"))
+    probed = checkpointed(dealt(cut).mapInPandas(_probed, "resource_id string, part int, skip bigint, n bigint, over bigint"))
     order = Window.partitionBy("resource_id").orderBy("part")  # the ranges of one file
     chained = probed.where("skip is not null").withColumn("_met", F.coalesce(F.lag("over").over(order), F.lit(0)) == F.col("skip"))
     chained = chained.withColumn("_first", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -291,9 +291,11 @@ def splits(resources: DataFrame, ranges: dict[str, int] | None = None) -> DataFr
     return planned.where("parts = 1").unionByName(parts.select(*planned.columns)).unionByName(whole)
 
 
-def dealt(splits: DataFrame, n: int) -> DataFrame:
-    """A few rows to a task: rows are small, what they name is not."""
-    return splits.repartition(max(1, min(n, 10_000)), "resource_id", "part")
+def dealt(ranges: DataFrame) -> DataFrame:
+    """Ranges over tasks of about `TASK` stored bytes: rows are small, what they name is not."""
+    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0))).first()
+    tasks = min(n, max(size // TASK, ranges.sparkSession.sparkContext.defaultParallelism))
+    return ranges.repartition(max(1, tasks), "resource_id", "part")
 
 
 def _wanted(begin: int | None, end: int | None, routers: tuple[str, ...]) -> Callable[[wire.Frame], bool]:
@@ -354,5 +356,4 @@ def _read(batches: Iterator[pd.DataFrame], begin: int | None, end: int | None, r
 
 def read_messages(resources: DataFrame, begin: int | None = None, end: int | None = None, routers: tuple[str, ...] = (), stop: bool = False, ranges: dict[str, int] | None = None) -> DataFrame:
     """MESSAGE rows of the files of `resources` (resource_id, format, url) as `selected`."""
-    found = checkpointed(splits(resources, ranges))
-    return dealt(found, found.count()).mapInPandas(lambda it: _read(it, begin, end, routers, stop), MESSAGE)
+    return dealt(checkpointed(splits(resources, ranges))).mapInPandas(lambda it: _read(it, begin, end, routers, stop), MESSAGE)
