@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, least: i
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("_long", F.octet_length("payload") >= least)
     first = rows.where("_long").groupBy("digest").agg(F.count("*").alias("_n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("_first"))
-    joined = rows.join(first.where("_n > 1 and _first is not null").select("digest", "_first"), "digest", "left")
+    joined = rows.join(first.where("_n > 1 and _first is not null").select("digest", "_first").hint("shuffle_hash"), "digest", "left")
     later = F.col("_long") & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first.page_id"))
     made = joined.select("page_id", "url", "payload", "digest", F.col("_first.url").alias("first_url"), F.coalesce(later, F.lit(False)).alias("revisit"))
     text = made.mapInArrow(lambda it: _write(it, segment), "value binary").select(F.col("value").cast("string").alias("value"))
@@ -206,11 +206,14 @@ RECORD = "kind string, record_id string, target_uri string, page_id bigint, dige
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep = ["kind", "record_id", "target_uri", "page_id", "digest", "refers_uri"]
     for batch in batches:
-        for k in range(batch.num_rows):  # a record at a time: parts may be large
-            row = batch.slice(k, 1)
-            kind, digest = row["kind"][0].as_py() or "", row["digest"][0].as_py()
-            payload, status = payload_of(kind, [(p["number"], p["total"], p["block"]) for p in row["parts"][0].as_py()], digest)
-            yield pa.RecordBatch.from_arrays([*(row[c] for c in keep), pa.array([payload], pa.binary()), pa.array([status])], [*keep, "payload", "status"])
+        kinds, digests, rows, start, held = batch["kind"].to_pylist(), batch["digest"].to_pylist(), [], 0, 0
+        for k, kind in enumerate(kinds):  # parts a record at a time: they may be large
+            rows.append(payload_of(kind or "", [(p["number"], p["total"], p["block"]) for p in batch["parts"][k].as_py()], digests[k]))
+            held += len(rows[-1][0] or b"")
+            if held > 1 << 22 or k + 1 == len(kinds):
+                own = [batch[c].slice(start, len(rows)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows])], [*keep, "payload", "status"])
+                rows, start, held = [], k + 1, 0
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -230,10 +233,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolve(records: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of pages read back; revisits are resolved to the response of their digest.
 
-    A record of a status other than `ok`, and a revisit whose response is not there, has no bytes.
+    A payload's digest is the record's, which reading has checked.  A record of a status other than `ok`, and a revisit whose response is not there, has no bytes.
     """
     pages = records.where("kind in ('response', 'revisit')")
-    facts = pages.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.coalesce(F.sha2("payload", 256), F.col("digest")).alias("payload_digest"), F.col("kind").alias("record_type"), "status")
+    facts = pages.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.coalesce(F.col("digest"), F.sha2("payload", 256)).alias("payload_digest"), F.col("kind").alias("record_type"), "status")
     facts = stash(facts, "warc-pages")
     responses, revisits = facts.where("record_type = 'response'"), facts.where("record_type = 'revisit'")
     origin = responses.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes"))
