@@ -23,6 +23,16 @@ def dense_ids(keys: DataFrame, order: list[str], name: str, start: int = 1, spre
     return placed.withColumn(name, (before + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).cast("long")).drop("_part")
 
 
+def rank_within(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Places from 0 within each group, ranges of rows at a time: a group that holds a third of all rows is sorted by many tasks."""
+    placed = checkpointed(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(*group, "_part").agg(F.count("*").alias("_n"))  # a row a group and range
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)).cast("long") - 1
+    return placed.withColumn("_own", own).join(offsets, [*group, "_part"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
+
+
 def peer_ids(elems: DataFrame, collector: str = "collector", peer: str = "peer_ip", asn: str = "peer_asn", seen: str = "seen") -> DataFrame:
     """(collector, peer, asn, peer_id): ids from 1 in the order in which peers are first seen; the AS number is the first one."""
     first = elems.groupBy(collector, peer).agg(F.min(seen).alias("_seen"), F.min_by(asn, seen).alias(asn))
@@ -34,8 +44,7 @@ def path_ids(elems: DataFrame, path: str = "path", peer_asn: str = "peer_asn") -
     core, stripped = aspath.core_path(F.col(path), F.col(peer_asn))
     rows = elems.where(F.col(path).isNotNull()).select(core.alias("core"), stripped.alias("stripped")).distinct()
     rows = rows.withColumn("hash", aspath.path_hash(F.col("core"))).withColumn("core_text", aspath.path_text(F.col("core")))
-    order = Window.partitionBy("hash").orderBy("core_text", "stripped")
-    return rows.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    return rank_within(rows, ["hash"], ["core_text", "stripped"], "idx")
 
 
 def with_paths(elems: DataFrame, store: DataFrame, path: str = "path", peer_asn: str = "peer_asn") -> DataFrame:

@@ -6,6 +6,7 @@ All of them read whole tables: the elem view of `events`, a prefix table of dist
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import aspath, community, ip, render, times
 from ..operators import filters as flt
-from ..operators import intern, ipspace, prefixes, records, rpki
+from ..operators import intern, ipspace, prefixes, records, rpki, stores
+from ..operators.shared import checkpoint_folder
 from ..sources import catalog, dumps, rislive
 from ..streaming import live
 from .elems import DUCK_ROAS, DUCK_VIEW, elem_view, supplier_roas
@@ -547,6 +549,37 @@ def path_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intern.rebuilt(ids, intern.path_ids(rows)).select("event_id", aspath.path_text(F.col("path")).alias("path"))
 
 
+HALF = 1705276800
+
+
+@query(
+    f""", k AS (SELECT collector, peer_asn % 150 AS peer, min(CASE WHEN time_us // 1000000 < {HALF} THEN 0 ELSE 1 END) AS batch, min(event_id) AS seen, arg_min(peer_asn, event_id) AS asn,
+        min(CASE WHEN time_us // 1000000 >= {HALF} THEN event_id END) AS seen_late FROM e GROUP BY 1, 2),
+    f AS (SELECT collector, e.peer_asn % 150 AS peer, CASE WHEN time_us // 1000000 < {HALF} THEN 0 ELSE 1 END AS batch, min(event_id) AS seen, arg_min(peer_asn, event_id) AS asn FROM e GROUP BY 1, 2, 3)
+    SELECT f.collector, CAST(f.peer AS VARCHAR) AS peer, f.asn, row_number() OVER (ORDER BY f.batch, f.seen, f.collector, CAST(f.peer AS VARCHAR)) AS peer_id FROM f JOIN k USING (collector, peer, batch)"""
+)
+def peer_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peers of two batches, the second day by day later: ids of the first stay, new peers go on after them."""
+    rows = elem_view(spark, sf_dir).select("collector", (F.col("peer_asn") % 150).cast("string").alias("peer_ip"), "peer_asn", F.col("event_id").alias("seen"), "time_sec")
+    path = f"{checkpoint_folder(spark)}/peers-{uuid.uuid4().hex}"
+    stores.add_peers(rows.where(f"time_sec < {HALF}"), path, 0)
+    found = stores.add_peers(rows.where(f"time_sec >= {HALF}"), path, 1)
+    return found.select("collector", F.col("peer_ip").alias("peer"), F.col("peer_asn").alias("asn"), "peer_id")
+
+
+@query(
+    f""", d AS (SELECT array_to_string(string_split(as_path, ' ')[2:], ' ') AS as_path, min(CASE WHEN time_us // 1000000 < {HALF} THEN 0 ELSE 1 END) AS batch FROM e WHERE as_path IS NOT NULL GROUP BY 1)"""
+    + HASH_SQL.replace("e WHERE as_path IS NOT NULL", "(SELECT batch AS event_id, as_path FROM d)")
+    + " SELECT hash, row_number() OVER (PARTITION BY hash ORDER BY event_id, as_path) - 1 AS idx, as_path AS core, CAST(event_id AS BIGINT) AS batch FROM h"
+)
+def path_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of the same two batches: places within a hash go on where the first batch stopped."""
+    rows = elem_view(spark, sf_dir).select("path", "peer_asn", "time_sec")
+    path = f"{checkpoint_folder(spark)}/paths-{uuid.uuid4().hex}"
+    stores.add_paths(rows.where(f"time_sec < {HALF}"), path, 0)
+    return stores.add_paths(rows.where(f"time_sec >= {HALF}"), path, 1).select("hash", "idx", F.col("core_text").alias("core"), "batch")
+
+
 def message_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view with `kind` and `body` in hex: each event as a RIB entry, an update with or without a route, or a state change."""
     hexed = lambda n, width: f"lpad(hex(CAST({n} AS BIGINT)), {width}, '0')"

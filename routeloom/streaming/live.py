@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import filters as flt
+from ..operators import stores
 from ..sources import catalog, datasource, dumps, rislive
 
 LATE = "120 seconds"
@@ -98,6 +99,19 @@ def live_rib_period(resources: DataFrame, period: int) -> DataFrame:
     return resources.where("record_type = 'ribs'").groupBy("project", "collector").applyInPandasWithState(keep, "project string, collector string, initial_time bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def grow_stores(elems: DataFrame, peers: str, paths: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Adds the peers and paths of a stream of elems to stores; a batch that is repeated after a failure gives the same ids."""
+
+    def add(rows: DataFrame, batch: int) -> None:
+        rows = rows.withColumn("seen", F.struct("time_sec", "time_usec")).persist()
+        stores.add_peers(rows, peers, batch)
+        stores.add_paths(rows.where("path is not null"), paths, batch)
+        rows.unpersist()
+
+    writer = elems.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def start(elems: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write a stream to Parquet: by `every`, or all that is there and stop."""
     writer = elems.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
