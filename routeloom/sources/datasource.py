@@ -6,15 +6,18 @@ what a feed writer leaves.  Each batch reads the whole lines between two offsets
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from . import files
+from . import files, wire
 
 PIECE = 8 << 20
+#: Fixed value: the bytes by which a file is known.
+HEAD = 1024
 
 
 class Span(InputPartition):
@@ -71,6 +74,16 @@ class LineStream(DataSourceStreamReader):
         pass
 
 
+def _messages(url: str, form: str) -> Iterator[wire.Frame]:
+    """The messages of a whole file, in pieces."""
+    system, path = files.store(url)
+    size = system.get_file_info(path).size
+    with system.open_input_file(path) as f:
+        head = f.read(3)
+        pack = "gzip" if head[:2] == b"\x1f\x8b" else "bzip2" if head == b"BZh" else "plain"
+        yield from files.Messages(files.pieces(f, pack, size, 0, size), form)
+
+
 #: What a pushed comparison of `time_sec` with a number means for the interval [begin, end].
 BOUNDS = {GreaterThan: (1, None), GreaterThanOrEqual: (0, None), LessThan: (None, -1), LessThanOrEqual: (None, 0), EqualTo: (0, 0)}
 
@@ -101,17 +114,41 @@ class FrameReader(DataSourceReader):
         return [Span(p, 0, 0) for p in self.paths]
 
     def read(self, partition: Span) -> Iterator[tuple]:
-        system, path = files.store(partition.path)
-        size = system.get_file_info(path).size
-        with system.open_input_file(path) as f:
-            head = f.read(3)
-            pack = "gzip" if head[:2] == b"\x1f\x8b" else "bzip2" if head == b"BZh" else "plain"
-            for seq, m in enumerate(files.Messages(files.pieces(f, pack, size, 0, size), self.form)):
-                if self.end is not None and m.sec > self.end and m.status != "S":
-                    if self.sorted:
-                        return
-                elif self.begin is None or m.sec >= self.begin:
-                    yield partition.path, seq, m.sec, m.usec, m.kind, m.subtype, m.body, m.status
+        for seq, m in enumerate(_messages(partition.path, self.form)):
+            if self.end is not None and m.sec > self.end and m.status != "S":
+                if self.sorted:
+                    return
+            elif self.begin is None or m.sec >= self.begin:
+                yield partition.path, seq, m.sec, m.usec, m.kind, m.subtype, m.body, m.status
+
+
+class HeadStream(DataSourceStreamReader):
+    """Files that are offered again when their head changes; the offset is the digest of each head.  A file that is not there has none."""
+
+    def __init__(self, options: dict) -> None:
+        self.paths, self.form = options["path"].split(","), options.get("format", "mrt")
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        found = {}
+        for url in self.paths:
+            system, path = files.store(url)
+            if system.get_file_info(path).is_file:
+                with system.open_input_file(path) as f:
+                    found[url] = hashlib.sha256(f.read(HEAD)).hexdigest()
+        return found
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [Span(url, 0, 0) for url, digest in sorted(end.items()) if start.get(url) != digest]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        for seq, m in enumerate(_messages(partition.path, self.form)):
+            yield partition.path, seq, m.sec, m.usec, m.kind, m.subtype, m.body, m.status
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class Routes(DataSource):
@@ -126,4 +163,4 @@ class Routes(DataSource):
         return FrameReader(self.options)
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return LineStream(self.options)
+        return LineStream(self.options) if self.options.get("format") == "lines" else HeadStream(self.options)

@@ -61,6 +61,46 @@ def sessions(elems: DataFrame, gap: str = "10 minutes", by: tuple[str, ...] = ("
     return elems.groupBy(F.session_window("ts", gap).alias("s"), *by).count().select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *by, F.col("count").alias("n"))
 
 
+def merged(records: DataFrame, width: str = "60 seconds", by: tuple[str, ...] = ("collector",)) -> DataFrame:
+    """Records of live feeds in the merged order: `slice` and, from 1, the `place` in it, beside their columns.
+
+    Rows wait in the state of their slice of time until the watermark (`with_time`) has passed it, so feeds that run ahead wait for those behind, and each
+    slice comes out once, in order.  A slice of a group of `by` is sorted at once; that bounds the state by rate and width.  Works alike on a table.
+    """
+    row = F.struct("time_sec", F.when(F.col("rec_type") == "R", 0).otherwise(1).alias("_kind"), "resource_id", "seq", F.struct(*records.columns).alias("_row"))
+    slices = records.groupBy(F.window("ts", width).alias("_w"), *by).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    placed = slices.select(F.col("_w.start").alias("slice"), F.posexplode("_rows").alias("_at", "_r"))
+    return placed.select("slice", (F.col("_at") + 1).alias("place"), "_r._row.*")
+
+
+#: What makes a record of one feed the record of another.
+SAME = ("collector", "peer_ip", "time_sec", "time_usec", "digest")
+
+
+def hand_over(backlog: DataFrame, feed: DataFrame, folder: str, overlap: int = 900) -> DataFrame:
+    """The rows of a live feed that the backlog does not hold: no gap and no repeat where both overlap, nor where the feed repeats itself.
+
+    Both have the columns `SAME`, the feed also `ts` with a watermark.  The backlog is taken to be whole up to `overlap` seconds before a collector's last row.
+    The keys of that tail are written to `folder` once, so a restarted query sees the same tail; the state holds keys within the watermark only.
+    """
+    spark = feed.sparkSession
+    last = backlog.groupBy(F.col("collector").alias("_collector")).agg((F.max("time_sec") - overlap).alias("_from"))
+    tail = backlog.join(last, F.col("collector").eqNullSafe(F.col("_collector"))).where("time_sec >= _from").select(*SAME, "_from").distinct()
+    tail.write.mode("ignore").parquet(folder)
+    tail = spark.read.schema(tail.schema).parquet(folder)
+    begins = F.broadcast(tail.select(F.col("collector").alias("_collector"), "_from").distinct())  # a row a collector
+    late = feed.join(begins, F.col("collector").eqNullSafe(F.col("_collector")), "left").where("_from is null or time_sec >= _from").drop("_from", "_collector")
+    old = tail.select(*[F.col(c).alias(f"_{c}") for c in SAME])
+    met = flt.all_of([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SAME])
+    return late.join(old, met, "left_anti").dropDuplicatesWithinWatermark(list(SAME))
+
+
+def follow_file(spark: SparkSession, path: str, form: str = "mrt") -> DataFrame:
+    """Messages of files (comma-separated) that are written anew from time to time: a file is read again when its first 1,024 bytes change."""
+    spark.dataSource.register(datasource.Routes)
+    return spark.readStream.format("routes").option("format", form).option("path", path).load()
+
+
 PEER_STATE = "collector string, peer_ip string, state int, changes bigint, since bigint"
 
 
