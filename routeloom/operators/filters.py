@@ -25,6 +25,7 @@ TERMS = {
 }
 SPECIFICITY = ("any", "more", "less", "exact")
 FEW_PREFIXES = 16
+FEW_VALUES = 200
 
 
 class FilterError(ValueError):
@@ -189,17 +190,17 @@ def prefix_condition(prefix: Column, wanted: tuple[tuple[str, str], ...]) -> Col
     return F.coalesce(met, F.lit(False))
 
 
-def elem_conditions(f: Filters, few_prefixes: int = FEW_PREFIXES) -> list[Column]:
-    """Conjuncts in the order cheap to dear; a long prefix list is left to `apply`, which joins it."""
+def elem_conditions(f: Filters, few_prefixes: int = FEW_PREFIXES, few_values: int = FEW_VALUES) -> list[Column]:
+    """Conjuncts in the order cheap to dear; long lists are left to `apply`, which joins them."""
     kind = F.col("elem_type")
     found = []
     if f.elemtype:
         found.append(kind.isin(*(ELEM_TYPES[x] for x in f.elemtype)))
-    if f.peer:
+    if 0 < len(f.peer) <= few_values:
         found.append(F.col("peer_asn").isin(*f.peer))
-    if f.not_peer:
+    if 0 < len(f.not_peer) <= few_values:
         found.append(F.coalesce(~F.col("peer_asn").isin(*f.not_peer), F.lit(True)))
-    if f.origin:
+    if 0 < len(f.origin) <= few_values:
         last = aspath.origin_segment(F.col("path"))
         found.append(kind.isin("R", "A") & (last["type"] == SEGMENT["asn"]) & last["asns"][0].isin(*f.origin))
     if f.ipversion:
@@ -208,18 +209,24 @@ def elem_conditions(f: Filters, few_prefixes: int = FEW_PREFIXES) -> list[Column
         found.append((kind != "S") & prefix_condition(F.col("prefix"), f.prefix))
     for pattern in f.aspath:
         found.append(kind.isin("R", "A") & aspath.matches(F.coalesce(F.col("as_path"), F.lit("")), pattern))
-    if f.community:
+    if 0 < len(f.community) <= few_values:
         found.append(kind.isin("R", "A") & reduce(lambda a, b: a | b, (community.match(F.col("communities"), p) for p in f.community)))
     return found
 
 
-def apply(elems: DataFrame, f: Filters, few_prefixes: int = FEW_PREFIXES) -> DataFrame:
+def apply(elems: DataFrame, f: Filters, few_prefixes: int = FEW_PREFIXES, few_values: int = FEW_VALUES) -> DataFrame:
     """Elems (with the columns of their record) that pass every filter."""
+    from . import valuesets
     from .prefixes import matching
 
-    found = elems.where(all_of([*record_conditions(f), *elem_conditions(f, few_prefixes)]))
+    found = elems.where(all_of([*record_conditions(f), *elem_conditions(f, few_prefixes, few_values)]))
+    spark = elems.sparkSession
+    for values, keep in ((f.peer, valuesets.keep_peers), (f.not_peer, valuesets.drop_peers), (f.origin, valuesets.keep_origins)):
+        if len(values) > few_values:
+            found = keep(found, spark.createDataFrame([(v,) for v in values], "value bigint"))
+    if len(f.community) > few_values:
+        found = valuesets.keep_communities(found, spark.createDataFrame([community.parse_pattern(c) for c in f.community], "asn int, value int"))
     if len(f.prefix) > few_prefixes:
-        spark = elems.sparkSession
         wanted = spark.createDataFrame([(s, (*_bits(text),)) for s, text in f.prefix], "specificity string, prefix struct<ver:int,hi:bigint,lo:bigint,len:int>")
         found = matching(found.where("elem_type <> 'S'"), wanted)
     return found

@@ -3,6 +3,7 @@ communities, both address families, and routers.  They are registered beside tho
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import aspath, community, ip, times
 from ..operators import filters as flt
-from ..operators import prefixes
+from ..operators import prefixes, trie, valuesets
+from ..operators.shared import checkpoint_folder
 from ..sources import catalog, dumps, rislive
+from ..streaming import live
 from ..types import AS_PATH
 from .elems import elem_view
-from .queries import NET, ORACLES, QUERIES, TABLE_SQL, V6_BASE, Query, message_bodies, query
+from .queries import NET, ORACLES, QUERIES, TABLE_SQL, V6_BASE, Query, _probes, _table, message_bodies, query
 
 VIEW = """
 SELECT event_id, user_id, time_us, elem_type, concat('r', CAST(event_id % 4 AS STRING)) AS router, a, b, c,
@@ -198,3 +201,72 @@ def live_update_elems(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rows.select(F.to_json(F.struct(F.lit("ris_message").alias("type"), data.alias("data"))).alias("value"))
     found = dumps.dress(rislive.records_to_elems(rislive.lines_to_records(lines)))
     return found.select("time_sec", "time_usec", "elem_type", "peer_asn", "collector", F.col("prefix_text").alias("prefix"), "nexthop", "as_path", F.col("communities_text").alias("communities"))
+
+
+@query(
+    TABLE_SQL
+    + """ SELECT a.net, a.len, row_number() OVER (ORDER BY a.net, a.len) - 1 AS place, (SELECT count(*) FROM t b WHERE b.net <= a.top) AS until,
+      (SELECT count(*) FROM t b WHERE b.net <= a.net AND b.top >= a.top AND b.len < a.len) AS depth FROM t a"""
+)
+def trie_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk of the whole table: place, end of the subtree and depth of each entry."""
+    return trie.places(_table(spark, sf_dir)).select(F.col("prefix.lo").alias("net"), F.col("prefix.len").alias("len"), "place", "until", "depth")
+
+
+@query(
+    TABLE_SQL
+    + """, x AS (SELECT q.event_id, t.net, t.len, CASE WHEN t.len = q.len THEN 'exact' WHEN t.len < q.len THEN 'parent' ELSE 'child' END AS relation
+      FROM q JOIN t ON (t.net <= q.net AND t.top >= q.top) OR (q.net <= t.net AND q.top >= t.top)),
+    y AS (SELECT *, max(len) FILTER (relation = 'parent') OVER (PARTITION BY event_id) AS nearest FROM x)
+    SELECT event_id, net, len, relation FROM y WHERE relation = 'exact' OR (relation = 'parent' AND len = nearest)
+      OR (relation = 'child' AND NOT EXISTS (SELECT 1 FROM x z WHERE z.event_id = y.event_id AND z.relation = 'child' AND z.len < y.len AND z.net <= y.net AND z.net + CAST(power(2, 32 - z.len) AS BIGINT) > y.net))"""
+)
+def walk_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks from each probe that stop at the first entry in every direction."""
+    found = trie.walk_nearest(_probes(spark, sf_dir), _table(spark, sf_dir), ["event_id"])
+    return found.select("event_id", F.col("prefix.lo").alias("net"), F.col("prefix.len").alias("len"), "relation")
+
+
+@query(
+    """ SELECT event_id, elem_type FROM e WHERE elem_type IN ('R', 'A') AND peer_asn IN (SELECT 64512 + c_custkey FROM customer WHERE c_custkey % 3 > 0)
+      AND peer_asn NOT IN (SELECT 64512 + s_suppkey FROM supplier WHERE s_nationkey % 5 = 0) AND CAST(string_split(as_path, ' ')[3] AS BIGINT) IN (SELECT 20000 + p_size FROM part WHERE p_size % 4 > 0)
+      AND (communities IN (SELECT concat(2900 + c_nationkey % 20, ':', c_custkey % 1000) FROM customer) OR string_split(communities, ':')[1] IN (SELECT CAST(2900 + n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 2)
+        OR string_split(communities, ':')[2] IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier))"""
+)
+def filter_value_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peers, other peers, origins and communities from whole tables."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = valuesets.keep_peers(elem_view(spark, sf_dir), read("customer").where("c_custkey % 3 > 0").selectExpr("64512 + c_custkey AS asn"))
+    found = valuesets.drop_peers(found, read("supplier").where("s_nationkey % 5 = 0").selectExpr("64512 + s_suppkey AS asn"))
+    found = valuesets.keep_origins(found, read("part").where("p_size % 4 > 0").selectExpr("20000 + p_size AS asn"))
+    whole = read("customer").selectExpr("CAST(2900 + c_nationkey % 20 AS INT) AS asn", "CAST(c_custkey % 1000 AS INT) AS value")
+    asns = read("nation").where("n_regionkey = 2").selectExpr("CAST(2900 + n_nationkey AS INT) AS asn", "CAST(NULL AS INT) AS value")
+    values = read("supplier").selectExpr("CAST(NULL AS INT) AS asn", "CAST(s_suppkey AS INT) AS value")
+    return valuesets.keep_communities(found, whole.union(asns).union(values)).select("event_id", "elem_type")
+
+
+MANY = 100_000
+
+
+@query(f" SELECT event_id, elem_type FROM e WHERE peer_asn % 2 = 0 AND peer_asn - 64512 < {2 * MANY}")
+def filter_many_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter of a hundred thousand peers."""
+    return flt.apply(elem_view(spark, sf_dir), flt.Filters(peer=tuple(range(64512, 64512 + 2 * MANY, 2)))).select("event_id", "elem_type")
+
+
+@query(
+    """ SELECT collector, time_us // 1000000 // 3600 * 3600 AS slice, event_id, CAST(row_number() OVER (PARTITION BY collector, time_us // 1000000 // 3600 ORDER BY time_us // 1000000, CASE WHEN rec_type = 'R' THEN 0 ELSE 1 END, concat(project, elem_type), event_id) AS INT) AS place FROM e"""
+)
+def merged_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merge of live feeds, in slices of an hour."""
+    rows = elem_view(spark, sf_dir).select("collector", "time_sec", "time_usec", "rec_type", F.concat("project", "elem_type").alias("resource_id"), F.col("event_id").alias("seq"))
+    return live.merged(live.with_time(rows), "1 hour").select("collector", F.unix_seconds("slice").alias("slice"), F.col("seq").alias("event_id"), "place")
+
+
+@query(" SELECT DISTINCT event_id, collector, time_us // 1000000 AS time_sec FROM e")
+def backlog_and_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backlog up to a day, and a feed that overlaps with it and repeats itself: every event once."""
+    rows = elem_view(spark, sf_dir).select("event_id", "collector", F.col("peer_asn").cast("string").alias("peer_ip"), "time_sec", "time_usec", F.sha2(F.col("event_id").cast("string"), 256).alias("digest"))
+    backlog, feed = rows.where("time_sec < 1705276800"), rows.where("time_sec >= 1705017600")
+    late = live.hand_over(backlog, live.with_time(feed.union(feed)), f"{checkpoint_folder(spark)}/tail-{uuid.uuid4().hex}", overlap=5 * 86400)
+    return backlog.select("event_id", "collector", "time_sec").union(late.select("event_id", "collector", "time_sec"))

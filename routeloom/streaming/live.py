@@ -92,7 +92,8 @@ def hand_over(backlog: DataFrame, feed: DataFrame, folder: str, overlap: int = 9
     late = feed.join(begins, F.col("collector").eqNullSafe(F.col("_collector")), "left").where("_from is null or time_sec >= _from").drop("_from", "_collector")
     old = tail.select(*[F.col(c).alias(f"_{c}") for c in SAME])
     met = flt.all_of([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SAME])
-    return late.join(old, met, "left_anti").dropDuplicatesWithinWatermark(list(SAME))
+    new = late.join(old, met, "left_anti")
+    return new.dropDuplicatesWithinWatermark(list(SAME)) if new.isStreaming else new.dropDuplicates(list(SAME))
 
 
 def follow_file(spark: SparkSession, path: str, form: str = "mrt") -> DataFrame:
