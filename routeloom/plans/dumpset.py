@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters as flt
 from ..operators.shared import checkpoint_folder, checkpointed
-from ..sources import catalog, dumps, files
+from ..sources import cache, catalog, decoders, dumps, files
 from .queries import ORACLES, QUERIES, V6_BASE, query
 from .varied import G4, varied_view
 
@@ -221,3 +221,41 @@ def dump_files_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of some days of all dump files with their places, and a record for each file without any."""
     found = dumps.records(dump_catalog(spark, sf_dir), flt.Filters().between(1704672000, 1705708800))
     return found.select("collector", "rec_type", "status", "time_sec", "dump_pos", "dump_time")
+
+
+@query(
+    RECORDS
+    + """ SELECT concat('rrc', c) AS collector, CASE WHEN rib THEN 'ribs' ELSE 'updates' END AS record_type, w * 21600 AS initial_time, n + CASE WHEN rib AND c <> 1 THEN 1 ELSE 0 END AS n_read,
+      n - count(*) FILTER (kept) AS n_skipped, CAST(0 AS BIGINT) AS n_unsupported, CAST(0 AS BIGINT) AS n_broken FROM z GROUP BY c, w, rib, n""",
+    view=False,
+)
+def dump_files_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was read of each dump file, and how much of it an interval left out."""
+    resources = dump_catalog(spark, sf_dir)
+    framed = dumps.messages(resources, flt.Filters().between(1704672000, 1705708800))
+    named = framed.withColumn("resource_id", F.struct("collector", "record_type", "initial_time"))
+    return dumps.counters(named).select("resource_id.*", "n_read", "n_skipped", "n_unsupported", "n_broken")
+
+
+@query(ELEMS, view=False)
+def dump_files_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dump files through the decode cache: the tables first, then everything, of which only the updates are decoded."""
+    resources, folder = dump_catalog(spark, sf_dir), f"{checkpoint_folder(spark)}/cache-{uuid.uuid4().hex}"
+    cache.fill(resources.where("record_type = 'ribs'"), folder)
+    return shown(cache.cached_elems(resources, folder))
+
+
+#: A dump message in hex as kind, subtype and body.
+SPLIT = ["CAST(conv(substr(message, 9, 4), 16, 10) AS INT) AS kind", "CAST(conv(substr(message, 13, 4), 16, 10) AS INT) AS subtype", "unhex(substr(message, CASE WHEN c = 2 THEN 33 ELSE 25 END)) AS body"]
+SQL_COLUMNS = ["collector", "elem_type", "elem_idx", "peer_asn", "peer_ip", "prefix", "nexthop", "origin", "med", "local_pref", "atomic", "agg_asn", "agg_ip", "old_state", "new_state"]
+
+
+@query(f"SELECT {', '.join(SQL_COLUMNS)} FROM ({ELEMS}) WHERE elem_type <> 'R' AND collector IN ('rrc0', 'rrc1', 'rrc2')", view=False)
+def decode_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update messages of several routes, decoded by the table function: one half in batches, the other beside the columns of its rows."""
+    decoders.register(spark)
+    messages = update_messages(base(spark, sf_dir)).where("c < 3").selectExpr("concat('rrc', c) AS resource_id", "place AS seq", "w", *SPLIT)
+    names = ", ".join(f"d.{c}" for c in SQL_COLUMNS[1:])
+    batches = spark.sql("SELECT * FROM decode_messages(TABLE(SELECT resource_id, seq, kind, subtype, body FROM {m} WHERE w % 2 = 0))", m=messages)
+    beside = spark.sql(f"SELECT m.resource_id AS collector, {names} FROM {{m}} m, LATERAL decode_message(m.kind, m.subtype, m.body) d WHERE m.w % 2 = 1", m=messages)
+    return batches.withColumnRenamed("resource_id", "collector").select(*SQL_COLUMNS).unionByName(beside)

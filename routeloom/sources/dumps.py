@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aspath, community, ip, render
@@ -151,17 +151,20 @@ def decode(found: DataFrame, partitions: int | None = None) -> DataFrame:
     return dealt.mapInPandas(_decode, ELEM)
 
 
-def elems(resources: DataFrame, filters: flt.Filters | None = None) -> DataFrame:
+def elems(resources: DataFrame, filters: flt.Filters | None = None, counts: Counts | None = None) -> DataFrame:
     """Elems with the columns of their record that pass every filter.
 
     `prefix` is (ver, hi, lo, len); `path` has the segments, four-octet tail merged in; the text columns are as rendered.
-    Routes whose peer index is in no table are left out.
+    Routes whose peer index is in no table are left out.  `counts` counts what is read, left out and corrupt on the way.
     """
     f = filters or flt.Filters()
     chosen = resources.where(flt.all_of(flt.resource_conditions(f)))
-    framed = checkpointed(messages(chosen, f))  # what the record filters leave out is not written
+    framed = checkpointed(_observed(messages(chosen, f), counts))  # what the record filters leave out is not written
     found = records(chosen, f, framed=framed).withColumn("_status", F.col("status"))
-    raw = decode(found).where("elem_type <> 'corrupt'")
+    raw = decode(found)
+    if counts is not None:
+        raw = checkpointed(raw.observe(counts.decoded, F.count_if(F.expr("elem_type <> 'corrupt'")).alias("n_elems"), F.count_if(F.expr("elem_type = 'corrupt'")).alias("n_corrupt")))
+    raw = raw.where("elem_type <> 'corrupt'")
     index = peers(framed)
     joined = raw.join(index, ["resource_id", "peer_index"], "left").where("peer_index is null or ip is not null")
     joined = joined.withColumn("peer_ip", F.coalesce("peer_ip", "ip")).withColumn("peer_asn", F.coalesce("peer_asn", "asn")).drop("ip", "asn")
@@ -169,6 +172,33 @@ def elems(resources: DataFrame, filters: flt.Filters | None = None) -> DataFrame
     return flt.apply(dress(whole), f)
 
 
+def counters(framed: DataFrame) -> DataFrame:
+    """(resource_id, n_read, n_skipped, n_unsupported, n_broken) of messages: those read, of them left out by the filters, of kinds without elems, and whether the source broke off."""
+    return framed.groupBy("resource_id").agg(
+        (F.count_if(F.expr("status <> 'S'")) + F.sum("skipped")).alias("n_read"), (F.count_if(F.expr("body is null and status <> 'S'")) + F.sum("skipped")).alias("n_skipped"),
+        F.count_if(F.expr("status = 'U' and body is not null")).alias("n_unsupported"), F.count_if(F.expr("status = 'S'")).alias("n_broken"),
+    )
+
+
+class Counts:
+    """Counts of a run, taken by the jobs that do the work: give it to `elems`, and ask when these are done."""
+
+    def __init__(self) -> None:
+        self.framed, self.decoded = Observation(), Observation()
+
+    def get(self) -> dict[str, int]:
+        """n_read, n_skipped, n_unsupported and n_broken of messages, n_elems and n_corrupt of what they decode to."""
+        return {k: v or 0 for o in (self.framed, self.decoded) for k, v in o.get.items()}
+
+
+def _observed(framed: DataFrame, counts: Counts | None) -> DataFrame:
+    if counts is None:
+        return framed
+    left_out = F.sum(F.col("skipped") + F.when(F.col("body").isNull() & (F.col("status") != "S"), 1).otherwise(0))
+    read = F.sum(F.col("skipped") + F.when(F.col("status") != "S", 1).otherwise(0))
+    return framed.observe(counts.framed, read.alias("n_read"), left_out.alias("n_skipped"), F.count_if(F.expr("status = 'U' and body is not null")).alias("n_unsupported"), F.count_if(F.expr("status = 'S'")).alias("n_broken"))
+
+
 def dress(raw: DataFrame) -> DataFrame:
     """Merged paths, parsed prefixes and the rendered text columns."""
     path = aspath.merge_as4(F.col("as_path"), F.col("as4_path"))
