@@ -9,6 +9,7 @@ import pkgutil
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import product
 
 TEXTS = ("Apache-2.0", "Artistic-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")
@@ -40,6 +41,9 @@ VERBS = ("licensed under", "released under", "distributed under", "available und
 #: Words by which licenses differ: a notice that lacks one, or has one put in, is that of another license.
 NAMES = frozenset("affero lesser library gnu non noncommercial commercial share sharealike alike noderivatives noderivs derivatives nc nd sa cc by zero mit bsd isc apache mozilla clause".split())
 NOTE = 12
+#: Words that join a second license to a first; such a notice counts only right after another.
+JOINED = ("or", "and", "with")
+NEGATED = re.compile(r"\b(not|never|neither|nor|cannot|(?:is|are|was|were)n t)( been| be| yet| currently)?( (licensed|released|distributed|available|published|provided|shared|covered|governed|subject)( (under|by|to)( the terms of)?)?)?( the| a)?( gnu)?$")
 
 
 def other_license(notice: list[str], missing: list[str], inserted: list[str]) -> bool:
@@ -48,6 +52,22 @@ def other_license(notice: list[str], missing: list[str], inserted: list[str]) ->
     return any(w in NAMES or numbered and w.strip("v").isdigit() for w in (*missing, *inserted))
 
 
+@cache
+def titles() -> frozenset[tuple[str, ...]]:
+    """The names that declare by themselves, as words."""
+    return frozenset(tuple(re.findall("[0-9a-z]+", form.lower().replace("licence", "license"))) for _, form in names())
+
+
+def refused(notice: list[str], start: int, end: int, block: list[str]) -> bool:
+    """Whether the words around say otherwise: a short form behind a negation, or before more of a version number than it has."""
+    if len(notice) >= NOTE:
+        return False
+    if NEGATED.search(" ".join(block[max(0, start - 10) : start])):
+        return True
+    after = [w for w in block[end : end + 3] if w not in ("v", "version", "license")][:1] if not notice[-1].isdigit() else block[end : end + 1]
+    return bool(after) and re.fullmatch("v?[0-9]{1,2}", after[0]) is not None
+
+
 def names() -> Iterator[tuple[str, str]]:
     """(license, the way it is named)."""
     for family, forms in VERSIONED.items():
@@ -74,17 +94,23 @@ def names() -> Iterator[tuple[str, str]]:
 
 def short_forms() -> Iterator[tuple[str, str]]:
     for name, form in names():
+        titled = re.search(r"(?i)licen[sc]e", form)
+        if titled:
+            yield name, form
         if name.startswith("CC-") and name[-1] == "0":
             yield from ((name, lead + form) for lead in ("", "licensed under ", "licensed under a ", "licensed under the "))
             continue
-        bare = not re.search(r"(?i)licen[sc]e|\d", form)
-        for verb, article in product(VERBS, ("",) if bare and len(form.split()) == 1 else ("", "the ", "a ")):
+        bare = not titled and not re.search(r"\d", form)
+        for verb, article in product(VERBS, ("", "the ") if bare and len(form.split()) == 1 else ("", "the ", "a ")):
             yield name, f"{verb} {article}{form}"
+        yield name, f"license {form}"
         if not bare:
-            yield name, f"license {form}"
+            yield from ((name, f"under {article}{form}") for article in ("", "the "))
+        yield from ((name, f"{joined} {form}") for joined in JOINED)
         if " " not in form or "-" in name:
             yield name, f"license identifier {form}"
             yield name, f"SPDX license identifier {name}"
+            yield from ((name, f"{joined} {name}") for joined in JOINED)
 
 
 def headers() -> Iterator[tuple[str, str]]:

@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
-Every notice of every template is checked on the words of the whole text, so line breaks and comment marks within a
-notice do not matter: a text declares a license where it holds one of its notices with at most `tolerance` of the words
-missing or put in between, none of them a name or number by which licenses differ.  The exact differences and the notice's first line are returned.  The words of a notice are
-compressed alone and with its template as a zstandard raw-content dictionary; the share of bytes saved is returned, and
-the bytes saved rank notices that overlap.
+Candidate blocks are the stretches of a text's words in which some notice may lie: a notice with at most k edits keeps one of its k + 1 pieces, so looking up
+the pieces of all notices misses none.  Blocks are windows of the whole text, so line breaks and comment marks within a notice do not matter.
+
+Each block is compressed alone and with each license's template, its notices, as a zstandard raw-content dictionary.  Licenses are tried by the bytes that
+their template saves, most first.  The first that exact wording confirms is the block's: its notices stand there with at most `tolerance` of their words missing
+or put in between, none of them a name or number by which licenses differ, no negation before and no other version after them, and agree with well over half as many
+words as those of any license do; where words differ, with the most.  They are taken, and the words that are left on both sides are blocks again, so one text may declare several licenses; `X or Y` and `X and Y` give both.
 
 Defined results: null and empty texts give no rows; a text may hold several notices, each a row; repeated
-rows repeat their findings; a null id is kept; an empty table gives no rows.  Only the named columns are read.
+rows repeat their findings; a null id is kept; of equal savings the first name is tried first; an empty table gives no rows.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -78,6 +80,10 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "All-Rights-Reserved": ("All rights reserved.",),
 }
 WORD = re.compile(r"[0-9a-z]+")
+#: The share of the most words that any license's notices agree with in a block, which the winner's have to reach.
+AGREEING = 0.6
+#: Within so many words of a notice, names of licenses are references.
+NEARBY = 60
 #: Comment marks made of letters; other marks are no words anyway.
 MARK = re.compile(r"(?m)^[^0-9a-z\n]*(?:rem|dnl)\b")
 FOUND = "doc_id long, line long, license string, reduction double, plain_bytes long, with_template_bytes long, missing string, inserted string"
@@ -138,15 +144,28 @@ class Piece(NamedTuple):
     notice: list[str]
 
 
+class Found(NamedTuple):
+    start: int
+    license: str
+    reduction: float
+    plain_bytes: int
+    with_template_bytes: int
+    missing: str
+    inserted: str
+
+
 class Scanner:
-    """Of a notice with at most k edits, one of its k + 1 pieces is unchanged, so looking up the pieces misses no notice."""
+    """Templates as dictionaries, and their notices by piece."""
 
-    def __init__(self, level: int = 12, tolerance: float = 0.1) -> None:
+    def __init__(self, level: int = 9, tolerance: float = 0.1) -> None:
         self.level, self.tolerance = level, tolerance
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.coders: dict[str, zstandard.ZstdCompressor] = {}
         self.pieces: dict[tuple[str, ...], dict[tuple[int, int], dict[tuple[str, ...], list[Piece]]]] = {}  # by two words, their place and the length, all words
         for name, notices in templates().items():
+            dictionary = zstandard.ZstdCompressionDict(" ".join(w for n in notices for w in n).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            dictionary.precompute_compress(level=level)
+            self.coders[name] = zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False, write_dict_id=False)
             for notice in notices:
                 count = min(int(tolerance * len(notice)) + 1, len(notice))
                 cuts = [len(notice) * k // count for k in range(count + 1)]
@@ -156,45 +175,102 @@ class Scanner:
                     alike.setdefault(tuple(notice[a:b]), []).append(Piece(a, b, name, notice))
         self.single = any(len(k) == 1 for k in self.pieces)
 
-    def matches(self, block: list[str]) -> Iterator[Match]:
-        """Every notice within the tolerance, wherever it stands in the block."""
-        places = [(i, k) for i, k in enumerate(zip(block, block[1:], strict=False)) if k in self.pieces]
+    def hits(self, text: list[str]) -> Iterator[tuple[int, int, Piece]]:
+        """Every piece that stands in the text, with its place."""
+        places = [(i, k) for i, k in enumerate(zip(text, text[1:], strict=False)) if k in self.pieces]
         if self.single:
-            places += [(i, (w,)) for i, w in enumerate(block) if (w,) in self.pieces]
+            places += [(i, (w,)) for i, w in enumerate(text) if (w,) in self.pieces]
         starts = ((i - place, i - place + n, alike) for i, key in places for (place, n), alike in self.pieces[key].items() if i >= place)
-        for at, end, p in ((at, end, p) for at, end, alike in starts for p in alike.get(tuple(block[at:end]), ())):
-            limit = int(self.tolerance * len(p.notice))
-            left = extend(p.notice[: p.start][::-1], block[max(0, at - p.start - limit) : at][::-1], limit)
-            rest = p.notice[p.end :]
-            right = left and extend(rest, block[end : end + len(rest) + limit], limit - len(left[1]) - len(left[2]))
-            if right:
-                missing, inserted = (left[k][::-1] + right[k] for k in (1, 2))
-                if license_forms.other_license(p.notice, missing, inserted):
-                    continue
-                yield Match(at - left[0], end + right[0], p.name, len(p.notice) - len(missing), tuple(missing), tuple(inserted))
-
-    def sizes(self, name: str, block: list[str]) -> tuple[int, int]:
-        """Bytes of the block compressed alone and with the license's notices as dictionary."""
-        if name not in self.coders:
-            raw = " ".join(w for n in templates()[name] for w in n).encode()
-            dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            dictionary.precompute_compress(level=self.level)
-            self.coders[name] = zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False, write_dict_id=False)
+        return ((at, end, p) for at, end, alike in starts for p in alike.get(tuple(text[at:end]), ()))
+
+    def blocks(self, text: list[str]) -> list[tuple[int, int, list[tuple[int, int, Piece]]]]:
+        """(start, end, hits) of the stretches in which a notice may lie: where the notices of the pieces that stand there would reach, as far as these overlap."""
+        spans = [(max(0, at - p.start), min(len(text), end + len(p.notice) - p.end), (at, end, p)) for at, end, p in self.hits(text)]
+        out: list[tuple[int, int, list[tuple[int, int, Piece]]]] = []
+        for start, end, hit in sorted(spans, key=lambda s: s[:2]):
+            if out and start < out[-1][1]:
+                out[-1][2].append(hit)
+                out[-1] = (out[-1][0], max(end, out[-1][1]), out[-1][2])
+            else:
+                out.append((start, end, [hit]))
+        return out
+
+    def sizes(self, block: list[str]) -> tuple[int, dict[str, int]]:
+        """Bytes of the block compressed alone, and with each license's template."""
         text = " ".join(block).encode()
-        return len(self.plain.compress(text)), len(self.coders[name].compress(text))
-
-    def scan(self, block: list[str]) -> list[tuple]:
-        """The notices of a block in order; of those that share half the words of one, the best: most words, less four for each edit, then most bytes saved."""
-        ranked = []
-        for m in set(self.matches(block)):
-            plain, size = self.sizes(m.name, block[m.start : m.end])
-            ranked.append((4 * (len(m.missing) + len(m.inserted)) - m.kept, size - plain, m, plain, size))
-        taken, best = [], bytearray(len(block))
-        for _, _, m, plain, size in sorted(ranked):
-            if 2 * sum(best[m.start : m.end]) < m.end - m.start:
-                best[m.start : m.end] = b"\1" * (m.end - m.start)
-                taken.append((m.start, m.name, 1 - size / plain, plain, size, " ".join(m.missing), " ".join(m.inserted)))
-        return sorted(taken)
+        return len(self.plain.compress(text)), {name: len(coder.compress(text)) for name, coder in self.coders.items()}
+
+    def confirmed(self, text: list[str], at: int, end: int, p: Piece) -> Match | None:
+        """The notice around a piece, if its wording agrees."""
+        limit = int(self.tolerance * len(p.notice))
+        left = extend(p.notice[: p.start][::-1], text[max(0, at - p.start - limit) : at][::-1], limit)
+        rest = p.notice[p.end :]
+        right = left and extend(rest, text[end : end + len(rest) + limit], limit - len(left[1]) - len(left[2]))
+        if not right:
+            return None
+        missing, inserted = (left[k][::-1] + right[k] for k in (1, 2))
+        start, stop = at - left[0], end + right[0]
+        if license_forms.other_license(p.notice, missing, inserted) or license_forms.refused(p.notice, start, stop, text):
+            return None
+        return Match(start, stop, p.name, len(p.notice) - len(missing), tuple(missing), tuple(inserted))
+
+    def scan(self, text: list[str]) -> list[Found]:
+        """The notices of a text in order."""
+        blocks, joined, notes = [], set(), []
+        for start, end, hits in self.blocks(text):
+            own: dict[str, set[Match]] = {}
+            for at, stop, p in hits:
+                if m := self.confirmed(text, at, stop, p):
+                    joined.add(m) if p.notice[0] in license_forms.JOINED else own.setdefault(p.name, set()).add(m)
+            notes += {(m.start, m.end) for group in own.values() for m in group if m.kept >= license_forms.NOTE}
+            blocks.append((start, end, own))
+        taken: list[Match] = []
+        for start, end, own in blocks:
+            if any(a < end + NEARBY and start < b + NEARBY for a, b in notes):  # a license text names others without declaring them
+                own = {name: {m for m in group if tuple(text[m.start : m.end]) not in license_forms.titles()} for name, group in own.items()}
+            taken += self._taken(text, start, end, own, 0, len(text))
+        while more := [m for m in joined if any(m.start == t.end for t in taken) and not any(m.start < t.end and t.start < m.end for t in taken)]:
+            widest = max(more, key=lambda m: (m.end - m.start, -m.start))  # the longest wording of what is joined
+            same = [m for m in more if (m.start, m.end) == (widest.start, widest.end)]
+            taken += self._taken(text, widest.start, widest.end, {m.name: {m} for m in same}, widest.start, widest.end)
+        found = []
+        for m in taken:
+            plain, sizes = self.sizes(text[m.start : m.end])
+            found.append(Found(m.start, m.name, 1 - sizes[m.name] / plain, plain, sizes[m.name], " ".join(m.missing), " ".join(m.inserted)))
+        return sorted(found)
+
+    def _taken(self, text: list[str], start: int, end: int, matches: dict[str, set[Match]], low: int, high: int) -> list[Match]:
+        """The notices of the block's license between two words, and of what is left beside them."""
+        apart = {name: own for name, group in matches.items() if (own := _apart({m for m in group if low <= m.start and m.end <= high}))}
+        if not apart or start >= end:
+            return []
+        plain, sizes = self.sizes(text[start:end])
+        sound = _sound(apart)
+        name = min(sound, key=lambda n: (sizes[n] - plain, n))  # the first by bytes saved whose wording is confirmed
+        edges = [low, *(x for t in sorted(apart[name]) for x in (t.start, t.end)), high]
+        return apart[name] + [m for a, b in zip(edges[::2], edges[1::2], strict=True) for m in self._taken(text, max(a, start), min(b, end), matches, a, b)]
+
+
+def _agreement(m: Match) -> int:
+    """Words that agree, less eight for each that does not."""
+    return m.kept - 8 * (len(m.missing) + len(m.inserted))
+
+
+def _sound(apart: dict[str, list[Match]]) -> set[str]:
+    """The licenses that the wording confirms: those that agree with enough of it, and, where words differ, with the most."""
+    agreeing = {name: sum(map(_agreement, own)) for name, own in apart.items()}
+    most = max(agreeing.values())
+    exact = {name for name, own in apart.items() if not any(m.missing or m.inserted for m in own)}
+    return {name for name, n in agreeing.items() if n == most or (n >= AGREEING * most and name in exact)}
+
+
+def _apart(matches: set[Match]) -> list[Match]:
+    """The best of those that overlap."""
+    taken: list[Match] = []
+    for m in sorted(matches, key=lambda m: (-_agreement(m), m)):
+        if all(m.end <= t.start or t.end <= m.start for t in taken):
+            taken.append(m)
+    return taken
 
 
 def _scan(batches: Iterator[pa.RecordBatch], tolerance: float) -> Iterator[pa.RecordBatch]:
