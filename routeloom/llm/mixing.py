@@ -39,20 +39,26 @@ def _ranked(sources: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """`sizes` (source, source_size) with `target`."""
+    """`sizes` (source, source_size) with `target`.
+
+    In the order of the level at which they clamp, sources before a place are clamped and the others share what is left by weight; the first place whose source
+    stays below its clamp gives the level.  The sums before a place are those of its range plus the ranges before, so no task sorts all sources.
+    """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    ranked = stash(_ranked(sizes).withColumn("weight", weight), "weights")
     most = F.col("source_size") * F.lit(cap)
-    total, all_weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
-    level = budget * (total or 0) / all_weight if all_weight else 0.0
-    while True:  # the level only rises, and each round clamps at least one more source
-        clamped = F.col("weight") * F.lit(level) > most
-        taken, left = ranked.agg(F.sum(F.when(clamped, most)), F.sum(F.when(~clamped, F.col("weight")))).first()
-        again = (budget * (total or 0) - (taken or 0.0)) / left if left else level
-        if again <= level:
-            break
-        level = again
-    return ranked.select("source", "source_size", F.when(F.col("weight") * F.lit(level) > most, most).otherwise(F.col("weight") * F.lit(level)).alias("target"))
+    ranked = _ranked(sizes).withColumn("weight", weight).withColumn("most", most).withColumn("clamps", F.col("most") / F.col("weight"))
+    placed = stash(ranked.repartitionByRange("clamps", "place").withColumn("part", F.spark_partition_id()), "clamps")
+    whole, before = Window.partitionBy(), Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("part").agg(F.sum("source_size").alias("_s"), F.sum("most").alias("_m"), F.sum("weight").alias("_w"))  # a row a range
+    zero = F.lit(0.0)
+    carried = sums.select("part", F.sum("_s").over(whole).alias("_total"), F.sum("_w").over(whole).alias("_weights"), F.coalesce(F.sum("_m").over(before), zero).alias("_most"), F.coalesce(F.sum("_w").over(before), zero).alias("_weight"))
+    own = Window.partitionBy("part").orderBy("clamps", "place").rowsBetween(Window.unboundedPreceding, -1)
+    clamped = F.col("_most") + F.coalesce(F.sum("most").over(own), zero)
+    sharing = F.col("_weights") - F.col("_weight") - F.coalesce(F.sum("weight").over(own), zero)
+    levels = placed.join(F.broadcast(carried), "part").withColumn("level", (budget * F.col("_total") - clamped) / sharing).where(F.col("level") * F.col("weight") <= F.col("most"))
+    found = levels.agg(F.min_by("level", F.struct("clamps", "place"))).first()[0]
+    target = F.col("most") if found is None else F.least(F.lit(found) * F.col("weight"), "most")
+    return placed.select("source", "source_size", target.alias("target"))
 
 
 def _source_key(column: str) -> Column:
