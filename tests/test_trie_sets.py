@@ -74,3 +74,20 @@ def test_sets_of_tables(spark):
     assert [r.k for r in valuesets.keep_peers(frame, wanted).collect()] == [1]
     assert sorted(r.k for r in valuesets.drop_peers(frame, wanted).collect()) == [2, 3]
     assert valuesets.keep_peers(frame, wanted.limit(0)).count() == 0 and valuesets.drop_peers(frame, wanted.limit(0)).count() == 3
+
+
+def test_kept_dumps_of_a_period(spark):
+    from routeloom.operators import records
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["p", None]), rng.choice("ab"), rng.choice([None, *range(0, 5000, 7)])) for _ in range(800)]
+    frame = spark.createDataFrame(rows, "project string, collector string, initial_time long").repartition(3)
+    for period in (0, 1, 50, 10_000):
+        expected = set()
+        for key in {r[:2] for r in rows}:
+            last = None
+            for t in sorted({r[2] for r in rows if r[:2] == key and r[2] is not None}):
+                if last is None or t >= last + period:
+                    last = t
+                    expected.add((*key, t))
+        assert {tuple(r) for r in records.kept_ribs(frame, period).collect()} == expected
