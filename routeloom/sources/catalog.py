@@ -86,6 +86,13 @@ def join_catalog(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def listing(tables: dict[str, DataFrame]) -> DataFrame:
+    """(project, collector, record_type, initial_time, url, added) of every file that the catalog knows, whether or not its span is known."""
+    d, c, t = (tables[x].alias(x) for x in ("bgp_data", "collectors", "bgp_types"))
+    joined = d.join(c, F.col("bgp_data.collector_id") == F.col("collectors.id")).join(t, F.col("bgp_data.type_id") == F.col("bgp_types.id"))
+    return joined.select("project", F.col("collectors.name").alias("collector"), F.col("bgp_types.name").alias("record_type"), F.col("file_time").alias("initial_time"), F.col("file_path").alias("url"), F.col("ts").alias("added"))
+
+
 def sqlite(spark: SparkSession, f: Filters, db_file: str, processed: int = 0, now: int | None = None) -> DataFrame:
     now = int(time.time()) if now is None else now
     joined = join_catalog(read_database(spark, db_file)).where((F.col("added") > processed) & (F.col("added") <= now))
