@@ -345,9 +345,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
     small = aligned_pairs(bucket_pairs(mixed.where(F.col("texts") <= SMALL), threshold), bodies, threshold, n)
     minors = mixed.where((F.col("texts") > SMALL) & (F.col("part") != F.col("hub")))
     large = cell_links(minors.select("key", "id", "n"), bodies, threshold, n).union(hub_links(minors.select("hub", "id", "n"), parts, bodies, threshold, n))
-    links = stash(star.union(small).union(large), "links")
-    roots = components(links)
-    grouped = texts.join(roots, "id", "left").select("content", "doc_id", F.coalesce("root", "id").alias("class_key"))
+    of = lambda end: parts.select(F.col("id").alias(end), F.col("part").alias(f"part_{end}"))
+    between = small.union(large).join(of("a"), "a").join(of("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).where("a <> b")
+    links = stash(between.distinct(), "links")  # of whole components, whose own links are known
+    placed = parts.select("id", "part")
+    if not links.isEmpty():
+        placed = placed.join(components(links).select(F.col("id").alias("part"), "root"), "part", "left").select("id", F.coalesce("root", "part").alias("part"))
+    grouped = texts.join(placed, "id", "left").select("content", "doc_id", F.coalesce("part", "id").alias("class_key"))
     names = grouped.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
     return grouped.select("content", F.col("doc_id").alias("least_id"), "class_key").join(names, "class_key").select("content", "least_id", "class_key", "class_id")
 
