@@ -61,6 +61,34 @@ FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100
 """
 
 
+SPELLING = """
+WITH RECURSIVE t AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+g AS (SELECT id, run, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT run, n, flatten([CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END FOR c IN string_split(id || ':' || run, '')]) AS bytes FROM g),
+h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, [CAST(x AS BIGINT) FOR x IN bytes]), lambda a, x : xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS h
+  FROM b, t),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN concat(run[: h % len(run)], run[h % len(run) + 2 :]) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE len(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, concat(word[: i - 1], word[i + 1 :]) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+f AS (SELECT word, count(*) AS n_near, min({'less': -near_n, 'near': near}) AS best FROM p GROUP BY word),
+m AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * w.n THEN best.near END AS form, CASE WHEN -best.less >= 10 * w.n THEN -best.less END AS form_n
+  FROM w LEFT JOIN f USING (word)),
+c(word, here, onward) AS (SELECT word, word, form FROM m UNION ALL SELECT c.word, m.word, m.form FROM c JOIN m ON c.onward = m.word)
+SELECT m.word, form, here AS root, n, n_near, form_n FROM m JOIN c ON c.word = m.word AND onward IS NULL
+"""
+
+
 def _spans(k: int, rule: Rule) -> str:
     pattern = rule.pattern.replace("'", "''").replace("++", "+")  # no backtracking in DuckDB, so possessive is the same there
     return f"""
@@ -90,4 +118,5 @@ ORACLES = {
     "op4_mix_sources": MIX,
     "op10_decontaminate": DECONTAMINATE,
     "op12_warc_round_trip": WARC,
+    "op13_spelling_variants": SPELLING,
 }
