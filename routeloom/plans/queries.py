@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import aspath, community, ip, render, times
 from ..operators import filters as flt
 from ..operators import intern, ipspace, prefixes, records, rpki, stores
-from ..operators.shared import checkpoint_folder
+from ..operators.shared import checkpoint_folder, checkpointed
 from ..sources import catalog, dumps, rislive
 from ..streaming import live
 from .elems import DUCK_ROAS, DUCK_VIEW, elem_view, supplier_roas
@@ -545,8 +545,9 @@ def walk_up_down(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths through the store and back: each elem keeps an id, and a null path a null one."""
     rows = elem_view(spark, sf_dir)
-    ids = intern.with_paths(rows, intern.path_ids(rows)).select("event_id", "peer_asn", "hash", "idx")
-    return intern.rebuilt(ids, intern.path_ids(rows)).select("event_id", aspath.path_text(F.col("path")).alias("path"))
+    store = checkpointed(intern.path_ids(rows))
+    ids = intern.with_paths(rows, store).select("event_id", "peer_asn", "hash", "idx")
+    return intern.rebuilt(ids, store).select("event_id", aspath.path_text(F.col("path")).alias("path"))
 
 
 HALF = 1705276800
