@@ -61,10 +61,38 @@ FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100
 """
 
 
-SPELLING = """
-WITH RECURSIVE t AS (
+#: The table of the checksum, by its rule.
+CRC_TABLE = """t AS (
   SELECT list(v ORDER BY i) AS tab FROM (
-    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+RUNS = """
+WITH """ + CRC_TABLE + """,
+d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS old,
+         [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')] AS bytes FROM documents),
+h AS (SELECT id, doc_id, old, len(old) AS n, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x : xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM d, t),
+a AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+w AS (
+  SELECT id, i, n, CASE WHEN i < coalesce(a, n) THEN old[i + 1] ELSE old[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM a)),
+e AS (SELECT x.id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.id = y.id AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+s AS (
+  SELECT id, q, min(i) AS start, count(*) AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM e) GROUP BY id, q, island),
+r AS (SELECT id, start, m + q AS length, min(q) AS period FROM s WHERE m + q >= greatest(12, 2 * q) GROUP BY id, start, m + q),
+o AS (
+  SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+         min({'l': -length, 's': start, 'p': period}) AS best FROM r GROUP BY id),
+k AS (
+  SELECT id, string_agg(word, ' ' ORDER BY i) AS kept FROM w
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = w.id AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, CAST(-best.l AS BIGINT) AS length, best.p AS period, CAST(1000 * -best.l // best.p AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, CAST(n AS BIGINT) AS n_words
+FROM a LEFT JOIN o USING (id) LEFT JOIN k USING (id)
+"""
+
+SPELLING = """
+WITH RECURSIVE """ + CRC_TABLE + """,
 r AS (
   SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
          translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
@@ -117,6 +145,7 @@ ORACLES = {
     "op2_secrets": SECRETS,
     "op4_mix_sources": MIX,
     "op10_decontaminate": DECONTAMINATE,
+    "op11_periodic_runs": RUNS,
     "op12_warc_round_trip": WARC,
     "op13_spelling_variants": SPELLING,
 }
