@@ -61,6 +61,21 @@ FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100
 """
 
 
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT id, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT id, x, unnest(range(len(x) // 2 - 399)) AS i FROM d WHERE len(x) >= 800)),
+r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+g AS (SELECT id, i, sum(CASE WHEN i <= p + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS span FROM (SELECT *, lag(i) OVER (PARTITION BY id ORDER BY i) AS p FROM r)),
+s AS (SELECT id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY id, span),
+k AS (
+  SELECT id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head, max(b) AS upto
+  FROM (SELECT s.*, x, coalesce(lag(b) OVER (PARTITION BY s.id ORDER BY a), 0) AS since FROM s JOIN d ON s.id = d.id) GROUP BY id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(concat(coalesce(head, ''), substr(x, 2 * coalesce(upto, 0) + 1)))) AS kept_sha256,
+       CAST(len(x) // 2 - coalesce(n_removed, 0) AS BIGINT) AS n_kept, coalesce(n_spans, 0) > 0 AS has_repeat
+FROM d LEFT JOIN k USING (id)
+"""
+
 #: The table of the checksum, by its rule.
 CRC_TABLE = """t AS (
   SELECT list(v ORDER BY i) AS tab FROM (
@@ -143,6 +158,7 @@ FROM d LEFT JOIN g USING (id)
 
 ORACLES = {
     "op2_secrets": SECRETS,
+    "op3_repeated_strings": REPEATS,
     "op4_mix_sources": MIX,
     "op10_decontaminate": DECONTAMINATE,
     "op11_periodic_runs": RUNS,
