@@ -63,7 +63,8 @@ FROM p LEFT JOIN f ON p.digest = f.digest AND n >= 100
 
 REPEATS = """
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT id, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT id, x, unnest(range(len(x) // 2 - 399)) AS i FROM d WHERE len(x) >= 800)),
+c AS (SELECT id, b * 500 AS base, substr(x, 1000 * b + 1, 1800) AS y FROM (SELECT id, x, unnest(range((len(x) // 2 - 400) // 500 + 1)) AS b FROM d WHERE len(x) >= 800)),
+w AS (SELECT id, base + i AS i, md5(substr(y, 2 * i + 1, 800)) AS k FROM (SELECT id, base, y, unnest(range(least(500, len(y) // 2 - 399))) AS i FROM c)),
 r AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
 g AS (SELECT id, i, sum(CASE WHEN i <= p + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS span FROM (SELECT *, lag(i) OVER (PARTITION BY id ORDER BY i) AS p FROM r)),
 s AS (SELECT id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY id, span),
