@@ -84,10 +84,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), budget: float = 1.5
     # Three steps down the digest: its first 12 bits, its next 12, then the digests of one small bucket.
     first, second = F.substring("key", 1, 3), F.substring("key", 4, 3)
     sums = rows.groupBy("sk", first.alias("b1")).agg(F.sum("size").alias("words")).join(targets.select("sk", "need"), "sk")
-    edge1 = _boundary(sums, "b1").drop("words")
+    edge1 = stash(_boundary(sums, "b1").drop("words"), "edge1")  # a row for each source; without it each step plans all before it again
     inner = rows.withColumn("b1", first).join(edge1, ["sk", "b1"])
     sums = inner.groupBy("sk", second.alias("b2"), F.col("rest").alias("need")).agg(F.sum("size").alias("words"))
-    edge2 = _boundary(sums, "b2").drop("words")
+    edge2 = stash(_boundary(sums, "b2").drop("words"), "edge2")
     inner = inner.drop("rest").withColumn("b2", second).join(edge2, ["sk", "b2"])
     sums = inner.groupBy("sk", "key", F.col("rest").alias("need")).agg(F.sum("size").alias("words"), F.count("*").alias("ties"))
     counts = sums.select("sk", "key", "ties")

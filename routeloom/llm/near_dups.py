@@ -301,7 +301,7 @@ def hub_links(minors: DataFrame, parts: DataFrame, bodies: DataFrame, threshold:
 
     left = minors.join(blocks, "hub").select("hub", "id", F.lit(True).alias("minor"), block("mb").alias("i"), each("gb").alias("j"))
     right = mains.join(blocks, "hub").select("hub", "id", F.lit(False).alias("minor"), each("mb").alias("i"), block("gb").alias("j"))
-    cells = left.union(right)
+    cells = stash(left.union(right), "hubcells")
     packed = bodies.join(cells.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(lambda it: _pack(it, n), "id long, hashes binary")
     return cells.join(packed, "id").groupBy("hub", "i", "j").applyInArrow(lambda cell: _join_hub(cell, threshold), "a long, b long").distinct()
 
@@ -321,8 +321,8 @@ def cell_links(members: DataFrame, bodies: DataFrame, threshold: float, n: int)
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.col("blocks") == 1) | (j != F.col("block")))
     pairs = F.transform(others, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    cells = placed.join(blocks, ["key", "g"]).withColumn("block", block).select("id", "key", "g", F.explode(pairs).alias("pair"))
-    packed = bodies.select("id", "text").join(members.select("id").distinct(), "id", "left_semi").mapInArrow(lambda it: _pack(it, n), "id long, hashes binary")
+    cells = stash(placed.join(blocks, ["key", "g"]).withColumn("block", block).select("id", "key", "g", F.explode(pairs).alias("pair")), "cells")
+    packed = bodies.select("id", "text").join(cells.select("id").distinct(), "id", "left_semi").mapInArrow(lambda it: _pack(it, n), "id long, hashes binary")
     return cells.join(packed, "id").groupBy("key", "g", "pair").applyInArrow(lambda cell: _join_cell(cell, threshold), "a long, b long").distinct()
 
 
@@ -342,9 +342,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
     placed = shared.join(parts.select("id", "part"), "id")
     mains = placed.groupBy("key", "part").agg(F.count("*").alias("own"), F.min("tie").alias("tie")).groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("own", "tie", "part")).alias("main"))
     mixed = stash(placed.join(mains.where("several > 1").select("key", F.col("main.part").alias("hub")), "key"), "mixed")
-    small = aligned_pairs(bucket_pairs(mixed.where(F.col("texts") <= SMALL), threshold), bodies, threshold, n)
+    # each kind of link is a query of its own: as one, its plan is made anew at each of some forty stages and fills the driver
+    pairs = stash(bucket_pairs(mixed.where(F.col("texts") <= SMALL), threshold), "pairs")
+    small = stash(aligned_pairs(pairs, bodies, threshold, n), "smalllinks")
     minors = mixed.where((F.col("texts") > SMALL) & (F.col("part") != F.col("hub")))
-    large = cell_links(minors.select("key", "id", "n"), bodies, threshold, n).union(hub_links(minors.select("hub", "id", "n"), parts, bodies, threshold, n))
+    large = stash(cell_links(minors.select("key", "id", "n"), bodies, threshold, n), "celllinks").union(stash(hub_links(minors.select("hub", "id", "n"), parts, bodies, threshold, n), "hublinks"))
     of = lambda end: parts.select(F.col("id").alias(end), F.col("part").alias(f"part_{end}"))
     between = small.union(large).join(of("a"), "a").join(of("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).where("a <> b")
     links = stash(between.distinct(), "links")  # of whole components, whose own links are known
@@ -352,6 +354,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, bands: int = BA
     if not links.isEmpty():
         placed = placed.join(components(links).select(F.col("id").alias("part"), "root"), "part", "left").select("id", F.coalesce("root", "part").alias("part"))
     grouped = texts.join(placed, "id", "left").select("content", "doc_id", F.coalesce("part", "id").alias("class_key"))
+    grouped = stash(grouped, "classes")
     names = grouped.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
     return grouped.select("content", F.col("doc_id").alias("least_id"), "class_key").join(names, "class_key").select("content", "least_id", "class_key", "class_id")
 
